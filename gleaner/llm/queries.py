@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, table
+from .imi import link, search
 from .langid import identify, train_dictionaries
 from .line_runs import dedup_lines
 from .mixing import mix, word_count
@@ -25,6 +26,14 @@ def piece_model() -> str:
     return os.environ.get("GLEANER_PIECE_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_multi_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 20 == 0, k=20)
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), 0.98)
+
+
 def op3_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model(), digest=True)
 

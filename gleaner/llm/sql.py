@@ -43,6 +43,39 @@ SELECT doc_id, size, source_size, target,
 FROM g
 """
 
+FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+
+SQL["op1_multi_index_search"] = f"""
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND {FINITE}
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    list_reduce(list_transform(generate_series(1, len(q.e)), lambda i: q.e[i] * c.e[i]), lambda x, y: x + y) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM p
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+SQL["op2_embedding_dedup"] = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {FINITE}
+), p AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y
+  ON x.label = y.label AND x.vec_id <> y.vec_id AND list_dot_product(x.e, y.e) / (x.n * y.n) >= 0.98
+), r(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a
+), c AS (
+  SELECT a, min(b) AS component_id FROM r GROUP BY a
+), l AS (
+  SELECT a, count(*) AS n FROM p GROUP BY a
+)
+SELECT c.a AS vec_id, coalesce(l.n, 0)::BIGINT AS n_links, c.component_id, c.a = c.component_id AS kept
+FROM c LEFT JOIN l ON l.a = c.a
+"""
+
 SQL["op10_line_dedup"] = r"""
 WITH s AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
