@@ -130,7 +130,7 @@ def calibrate(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], k: int, recal
 
 
 def search(
-    df: DataFrame, query_ids, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", centroids: int = 64, recall: float = 0.95,
+    df: DataFrame, query_ids, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", centroids: int = 64, recall: float = 0.97,
     least: int = 4096, block_rows: int = 8192, query_rows: int = 4096,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k vectors of largest inner product found for each query.

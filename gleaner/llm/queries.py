@@ -13,6 +13,7 @@ from .imi import link, search
 from .langid import identify, train_dictionaries
 from .line_runs import dedup_lines
 from .mixing import mix, word_count
+from .oddsketch import near_duplicates
 from .piece_bpe import encode_documents
 from .shards import shuffle_into_shards
 from .sql import SQL
@@ -46,6 +47,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=80)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     dictionaries = train_dictionaries(docs.where(~held_out(F.col("doc_id"))), "lang", "text", "doc_id")
