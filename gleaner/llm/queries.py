@@ -15,6 +15,7 @@ from .line_runs import dedup_lines
 from .mixing import mix, word_count
 from .oddsketch import near_duplicates
 from .piece_bpe import encode_documents
+from .prefix_free import remove_repeats
 from .shards import shuffle_into_shards
 from .sql import SQL
 from .toxicity import score_toxicity, train
@@ -51,6 +52,10 @@ def op5_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=80)
 
 
+def op6_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400, digest=True)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     dictionaries = train_dictionaries(docs.where(~held_out(F.col("doc_id"))), "lang", "text", "doc_id")
