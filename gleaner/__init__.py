@@ -1,0 +1 @@
+"""Evidence-grounded document analytics as DataFrames."""

@@ -1,0 +1 @@
+"""Reading documents, uploads and gold; writing reports."""
