@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stash
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -85,13 +87,16 @@ def mix(
     """
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
     d = docs.withColumn("mix_size", size).withColumn("mix_u", u)
-    sizes = d.groupBy(F.col(source_col).alias("source")).agg(F.sum("mix_size").alias("source_size"))
+    sizes = stash(d.groupBy(F.col(source_col).alias("source")).agg(F.sum("mix_size").alias("source_size")), "mix-sources")
+    # a few columns a source: up to this many are a megabyte or two, beyond it joins shuffle
+    small = F.broadcast if sizes.count() <= 20_000 else (lambda x: x)
     targets = source_targets(sizes, list(weights), share, cap).select(
         F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")
     )
     ratio = F.coalesce(F.try_divide(F.col("mix_target"), F.col("mix_source_size")), F.lit(0.0))
     targets = targets.withColumn("mix_sure", F.floor(ratio)).withColumn("mix_p", ratio - F.col("mix_sure"))
     targets = targets.withColumn("mix_open", F.col("mix_target") - F.col("mix_sure") * F.col("mix_source_size"))
+    targets = small(stash(targets, "mix-targets"))
     d = d.join(targets, F.col(source_col).eqNullSafe(F.col("mix_source")), "left")
     # random odds / inclusion odds, and its monotone image in (0, 1) for binning
     q = F.try_divide(F.col("mix_u") / (1 - F.col("mix_u")), F.col("mix_p") / (1 - F.col("mix_p")))
@@ -106,8 +111,9 @@ def mix(
     cut = by_bin.where((F.col("before") < F.col("mix_open")) & (F.col("upto") >= F.col("mix_open"))).select(
         F.col("mix_source").alias("cut_source"), F.col("mix_bin").alias("cut_bin"), "before"
     )
+    cut = stash(cut, "mix-cuts")
     inside = narrow.join(
-        cut, F.col("mix_source").eqNullSafe(F.col("cut_source")) & (F.col("mix_bin") == F.col("cut_bin")), "inner"
+        small(cut), F.col("mix_source").eqNullSafe(F.col("cut_source")) & (F.col("mix_bin") == F.col("cut_bin")), "inner"
     )
     order = Window.partitionBy("mix_source", "mix_bin").orderBy("mix_q", F.col(id_col).asc_nulls_last(), "mix_size")
     inside = inside.withColumn("run", F.col("before") + F.sum("mix_size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -117,7 +123,7 @@ def mix(
         F.max("mix_q").alias("cut_q")
     )
     cut = cut.join(last, F.col("cut_source").eqNullSafe(F.col("last_source")), "left").select("cut_source", "cut_bin", "cut_q")
-    d = d.join(cut, F.col(source_col).eqNullSafe(F.col("cut_source")), "left")
+    d = d.join(small(cut), F.col(source_col).eqNullSafe(F.col("cut_source")), "left")
     sampled = (
         F.col("mix_q").isNotNull()
         & (F.col("mix_open") > 0)
