@@ -91,7 +91,7 @@ def text_decode(spark, sf):
 def scan_resume_csv(spark, sf):
     path = _scratch(spark, "resume-csv")
     d = cv_corpus(spark, sf).select(F.col("doc_id").cast("string").alias("ID"), F.concat(F.lit("C"), F.col("doc_id") % 5).alias("Category"), F.col("text").alias("Resume_str"))
-    d.write.csv(path, header=True, quote='"', escape='"', quoteAll=True)
+    d.write.csv(path, header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return tables.read_resume_csv(spark, path).select("cv_id", "category", F.length(F.regexp_replace("text", "[\r\n]+", " ")).alias("n_chars"))
 
 
@@ -100,7 +100,7 @@ def scan_gold(spark, sf):
     path = _scratch(spark, "gold")
     skills = _mentions(spark, sf).groupBy("doc_id").agg(F.collect_list(F.struct("canonical", F.col("start_off").alias("start"), F.col("end_off").alias("end"))).alias("skills"))
     skills.select(F.col("doc_id").cast("string").alias("cv_id"), "skills").write.json(path)
-    gold = tables.read_gold(spark, path + "/*.json", cv_corpus(spark, sf).select(F.col("doc_id").cast("string").alias("cv_id"), "text"))
+    gold = tables.read_gold(spark, path + "/*.json", cv_corpus(spark, sf).select(F.col("doc_id").cast("string").alias("cv_id"), "text"), one_array=False)
     return gold.select("cv_id", "has_text", F.size("skills").alias("n_skills"))
 
 

@@ -21,9 +21,9 @@ def read_resume_csv(spark: SparkSession, path: str, limit: int | None = None) ->
     return out.limit(limit) if limit is not None else out
 
 
-def read_gold(spark: SparkSession, path: str, texts: DataFrame | None = None) -> DataFrame:
-    """Gold records, text from ``texts`` (cv_id, text), or from the record; has_text tells where there is none."""
-    g = spark.read.schema(GOLD).json(path, multiLine=True)
+def read_gold(spark: SparkSession, path: str, texts: DataFrame | None = None, one_array: bool = True) -> DataFrame:
+    """Gold records of a file that is one JSON array, or else one record a line; text from ``texts`` (cv_id, text), or from the record; has_text tells where there is none."""
+    g = spark.read.schema(GOLD).json(path, multiLine=one_array)
     if texts is not None:
         g = g.join(texts.select("cv_id", F.col("text").alias("_text")), "cv_id", "left").withColumn("text", F.coalesce("_text", "text")).drop("_text")
     return g.withColumn("has_text", F.col("text").isNotNull())
