@@ -75,7 +75,7 @@ def op8_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    model = train(docs.join(labels, "doc_id"))
+    model = train(docs, labels)
     out = score_toxicity(docs, model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_pred").alias("predicted"))
 

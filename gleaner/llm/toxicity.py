@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stash
+
 # Look-alikes of Latin letters in Cyrillic and Greek, and digits and signs written for letters.
 LOOKALIKES = {
     "а": "a", "в": "b", "е": "e", "ё": "e", "з": "3", "і": "i", "ї": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p",
@@ -98,25 +100,27 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * math.log1p(total) + c * math.log1p(rate)))))
 
 
-def labelled_sample(rows: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> DataFrame:
-    """The ``per_class`` rows of lowest hash of each label; copies of a text count once."""
-    d = rows.where(F.col(label_col).isNotNull()).select(
-        F.col(label_col).cast("int").alias("y"), F.xxhash64(F.lit("tox"), F.col(text_col)).alias("k"), F.col(id_col).alias("id")
-    )
-    d = d.groupBy("y", "k").agg(F.min("id").alias("id"))
-    d = d.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("k", "id"))).where(F.col("r") <= per_class).select("y", "id")
-    return rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(d), "id")  # at most 2 * per_class short rows
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> DataFrame:
+    """y, text of the ``per_class`` ids of lowest hash of each label; copies of a text count once.
+
+    The ids are picked from the labels alone, so no text is moved to find them.
+    """
+    d = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+    d = d.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64(F.lit("tox"), "_id"), "_id"))).where(F.col("r") <= per_class).select("y", "_id")
+    picked = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("text")).join(F.broadcast(d), F.col("_key") == F.col("_id"))  # at most 2 * per_class short rows
+    return stash(picked.select("y", "text").dropDuplicates(["y", "text"]), "labelled")
 
 
-def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000, max_words: int = 2000, min_odds: float = 20.0, min_docs: int = 5) -> ToxicityModel:
-    """A model of the labelled rows; at most ``per_class`` rows a label are learned from.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000, max_words: int = 2000, min_odds: float = 20.0, min_docs: int = 5) -> ToxicityModel:
+    """A model of the labelled documents; at most ``per_class`` of a label are learned from.
 
-    A word enters the lexicon if at least ``min_docs`` toxic texts hold it, and
-    at least one in 50 of them, and if it is ``min_odds`` times as frequent
-    there as in clean ones; its weight is the logarithm of that ratio over
-    that of ``min_odds``. Without labelled rows every score is near 0.
+    ``labels`` has the id and the label (1, 0 or null). A word enters the
+    lexicon if at least ``min_docs`` toxic texts hold it, and at least one in 50
+    of them, and if it is ``min_odds`` times as frequent there as in clean ones;
+    its weight is the logarithm of that ratio over that of ``min_odds``. Without
+    labelled rows every score is near 0.
     """
-    sample = labelled_sample(rows, id_col, text_col, label_col, per_class).select("y", "text")
+    sample = labelled_sample(docs, labels, id_col, text_col, label_col, per_class)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, Counter] = {}
@@ -169,8 +173,8 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64())], names=["y", "a", "b"])
 
     points = sample.select(F.col("y"), "text").mapInArrow(measure, "y int, a double, b double").collect()  # 2 * per_class at most
-    all_toxic = rows.where(F.col(label_col) == 1).count()
-    all_clean = rows.where(F.col(label_col) == 0).count()
+    all_toxic = labels.where(F.col(label_col) == 1).count()
+    all_clean = labels.where(F.col(label_col) == 0).count()
     model.curve = fit_curve(points, all_toxic, all_clean)
     return model
 
