@@ -55,14 +55,16 @@ def train_dictionaries(rows: DataFrame, lang_col: str, text_col: str, id_col: st
     for r in got:
         if (r["lang"], r["k"]) in ranked:
             out.setdefault(r["lang"], []).append((r["k"], r["piece"]))
-    return {lang: "\n".join(x for _, x in sorted(pieces)).lower().encode() for lang, pieces in sorted(out.items())}
+    rows_of = {r["lang"]: r["n"] for r in usable.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    order = sorted(out, key=lambda x: (-rows_of[x], x))  # equal sizes go to the language with more rows
+    return {lang: "\n".join(x for _, x in sorted(out[lang])).lower().encode() for lang in order}
 
 
 class CompressionClassifier:
     """Greedy matching first; where the two smallest lie within ``close`` of each other, a deeper search decides."""
 
     def __init__(self, dictionaries: dict[str, bytes], chunk: int = 2048, close: float = 0.03):
-        self.langs, self.chunk, self.close = sorted(dictionaries), chunk, close
+        self.langs, self.chunk, self.close = list(dictionaries), chunk, close
         quick = zstandard.ZstdCompressionParameters(
             window_log=18, hash_log=17, chain_log=16, search_log=2, min_match=3, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False
         )
@@ -76,11 +78,12 @@ class CompressionClassifier:
         return zstandard.ZstdCompressor(dict_data=d, compression_params=params)
 
     def ranked(self, text: str) -> list[tuple[int, str]]:
-        """Compressed size and language, smallest first."""
+        """Compressed size and language, smallest first; ties in the order of the dictionaries."""
         raw = text.lower().encode("utf-8", "replace")
         chunks = [raw[i : i + self.chunk] for i in range(0, len(raw), self.chunk)]
         for coders in (self.quick, self.deep):
-            out = sorted((sum(len(c.compress(x)) for x in chunks), lang) for lang, c in zip(self.langs, coders, strict=True))
+            sizes = [(sum(len(c.compress(x)) for x in chunks), lang) for lang, c in zip(self.langs, coders, strict=True)]
+            out = sorted(sizes, key=lambda x: x[0])  # stable: ties in the order of the dictionaries
             if len(out) < 2 or out[1][0] - out[0][0] > self.close * out[1][0]:
                 break
         return out
