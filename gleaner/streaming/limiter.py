@@ -12,12 +12,13 @@ from ..operators import language, statements
 from ..operators.lines import F, tx
 
 
-def rate_limit_stream(events: DataFrame, key: str = "user_id", ts: str = "ts", order: str = "event_id", max_calls: int = 5, per_seconds: int = 60) -> DataFrame:
+def rate_limit_stream(events: DataFrame, key: str = "user_id", ts: str = "ts", order: str = "event_id", max_calls: int = 5, per_seconds: int = 60, idle_ms: int | None = None) -> DataFrame:
     """The batch limiter's decisions for a stream of events, as they arrive.
 
-    A key's state is at most ``max_calls`` times. It goes when nothing came
-    for an hour of processing time. Within a micro-batch events are taken in
-    the order of their time.
+    A key's state is at most ``max_calls`` times. With ``idle_ms`` it goes when
+    nothing came for so long; such a stream always has another batch to run, so
+    a run over what is there must leave it out. Within a micro-batch events are
+    taken in the order of their time.
     """
     key_type = events.schema[key].dataType.simpleString()
 
@@ -37,11 +38,12 @@ def rate_limit_stream(events: DataFrame, key: str = "user_id", ts: str = "ts", o
                 calls.append(us)
             out.append((k[0], o, t, allowed, retry))
         state.update((calls,))
-        state.setTimeoutDuration(3_600_000)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=[key, order, ts, "allowed", "retry_after_s"])
 
     return events.select(key, order, ts).groupBy(key).applyInPandasWithState(
-        decide, f"{key} {key_type}, {order} bigint, {ts} timestamp, allowed boolean, retry_after_s double", "calls array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        decide, f"{key} {key_type}, {order} bigint, {ts} timestamp, allowed boolean, retry_after_s double", "calls array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms is not None else GroupStateTimeout.NoTimeout
     )
 
 
