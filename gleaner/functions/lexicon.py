@@ -114,7 +114,6 @@ HEADINGS_ID = {
     "skills": ["KEAHLIAN", "KETERAMPILAN", "KEAHLIAN TEKNIS", "KETERAMPILAN TEKNIS", "KOMPETENSI", "TOOLS", "TEKNOLOGI", "SERTIFIKASI", "BAHASA"],
 }
 SECTIONS = ["summary", "experience", "education", "skills"]
-SECTION_LABELS = {"summary", "experience", "education", "skills", "other", "document"}
 
 DUTY_EN = [
     "responsible for", "duties included", "duties involve", "in charge of", "tasked with", "helped with", "assisted with", "assisted in",

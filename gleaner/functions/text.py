@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ BREAKS = r"\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}"
 LINE = rf"[^{BREAKS}]*(?:\r\n|[{BREAKS}])|[^{BREAKS}]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once even where body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def split_lines(text: Column) -> Column:
     """Lines with their line ends; an empty text has none."""
     return F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
@@ -41,7 +48,7 @@ def any_of(text: Column, phrases: list[str]) -> Column:
 
 def present(text: Column, phrases: list[str]) -> Column:
     """The phrases that are substrings, in their own order."""
-    return F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(text, p))
+    return let(text, lambda t: F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(t, p)))
 
 
 def light_stem(token: Column) -> Column:
@@ -126,4 +133,4 @@ def redact(text: Column) -> Column:
             named.alias("name"),
         )
 
-    return steps(text)
+    return let(text, steps)

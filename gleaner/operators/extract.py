@@ -27,7 +27,8 @@ def skill_mentions(docs: DataFrame) -> DataFrame:
     nor shuffle is needed, and no pattern runs over a text without a hit.
     """
     rules = F.array(*[F.struct(F.lit(c).alias("canonical"), F.lit(a).alias("alias"), F.lit(alias_pattern(a)).alias("pattern")) for _, c, a in lx.skill_rules()])
-    hits = docs.select("doc_id", "text", F.explode(F.filter(rules, lambda r: F.contains(F.lower("text"), r["alias"]))).alias("rule"))
+    held = tx.let(F.lower("text"), lambda low: F.filter(rules, lambda r: F.contains(low, r["alias"])))
+    hits = docs.select("doc_id", "text", F.explode(held).alias("rule"))
     found = hits.select("doc_id", "rule.canonical", F.explode(tx.matches(F.col("text"), F.col("rule.pattern"))).alias("m"))
     return found.select("doc_id", "canonical", F.col("m.match").alias("text"), "m.start_off", "m.end_off")
 

@@ -21,12 +21,15 @@ def lang_scores(text: Column) -> Column:
     """(en, id, n): parts of the tokens that speak for a language, and their number."""
     en, indo = _list(lx.EN_WORDS), _list(lx.ID_WORDS)
     affixed = f"^(?:{'|'.join(lx.ID_PREFIXES)}).*(?:{'|'.join(lx.ID_SUFFIXES)})$"
-    t = tokens(text)
-    n_en = F.size(F.filter(t, lambda w: F.array_contains(en, w)))
-    hit = lambda w: F.array_contains(indo, w) | (~F.array_contains(en, w) & (F.length(w) > 5) & w.rlike(affixed))
-    n_id = F.size(F.filter(t, hit))
-    part = lambda k: F.coalesce(F.try_divide(k, F.size(t)), F.lit(0.0))
-    return F.struct(part(n_en).alias("en"), part(n_id).alias("id"), F.size(t).alias("n"))
+
+    def hit(w: Column) -> Column:
+        return F.array_contains(indo, w) | (~F.array_contains(en, w) & (F.length(w) > 5) & w.rlike(affixed))
+
+    def scores(t: Column) -> Column:
+        part = lambda k: F.coalesce(F.try_divide(F.size(k), F.size(t)), F.lit(0.0))
+        return F.struct(part(F.filter(t, lambda w: F.array_contains(en, w))).alias("en"), part(F.filter(t, hit)).alias("id"), F.size(t).alias("n"))
+
+    return tx.let(tokens(text), scores)
 
 
 def wordlist_label(scores: Column) -> Column:

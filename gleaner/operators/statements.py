@@ -29,9 +29,14 @@ def statement_class(text: Column, strict_currency: bool = False, whole_words: bo
     Verbs and leadership words count inside other words too, unless
     ``whole_words``.
     """
-    low, quant, cues = F.lower(text), quant_score(text, strict_currency), vague_cues(text)
+    low = F.lower(text)
     inside = (lambda words: low.rlike(rf"\b(?:{'|'.join(words)})\b")) if whole_words else (lambda words: tx.any_of(low, words))
-    verb, leads = inside(lx.OUTCOME_VERBS), inside(lx.LEADERSHIP)
+    seen = F.struct(quant_score(text, strict_currency).alias("quant"), vague_cues(text).alias("cues"), inside(lx.OUTCOME_VERBS).alias("verb"), inside(lx.LEADERSHIP).alias("leads"))
+    return tx.let(seen, _decide)
+
+
+def _decide(seen: Column) -> Column:
+    quant, cues, verb, leads = (seen[k] for k in ("quant", "cues", "verb", "leads"))
     done = (quant >= 2) | ((quant >= 1) & verb)
     duty = (F.size(cues) > 0) | (verb & (quant == 0))
     label = F.when(done, "achievement").when(leads, "responsibility").when(duty, "duty").otherwise("other")
