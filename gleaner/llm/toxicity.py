@@ -1,8 +1,8 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick.
 
 Texts are folded first: case, accents on Latin letters, look-alike letters of
-other scripts, digits and signs written for letters, and marks put inside or
-after words. The lexicon's words and their weights are learned from a bounded
+other scripts, digits and signs written for letters, words spelled with a mark
+between letters, and marks after words. The lexicon's words and their weights are learned from a bounded
 sample of labelled rows; so are exception phrases, word pairs around a lexicon
 word that clean rows use. A text's score comes from its matches' weights, as a
 sum and as a rate per length.
@@ -48,7 +48,8 @@ def _fold_table() -> dict[int, str]:
 
 FOLD = _fold_table()
 WORD = re.compile(r"[^\s]+")
-SIGN = re.compile(r"[a-z][0134578@$!]+(?=[a-z])|(?<![0-9a-z])[0134578@$]+(?=[a-z]{2})")
+SIGN = re.compile(r"[a-z][0134578@$!]+(?=[a-z])|(?<![0-9a-z])[0134578@$]+(?=[a-z])")
+SPELLED = re.compile(r"(?<![a-z])(?:[a-z][.\-_*]){2,}[a-z](?![a-z])")
 EDGE = re.compile(r"[^a-z\s]+")
 
 
@@ -62,7 +63,8 @@ def fold(text: str) -> str:
     if not t.isascii():
         t = t.translate(FOLD)
     t = SIGN.sub(_letters, t)
-    t = EDGE.sub(" ", t) if not t.isascii() else EDGE.sub(" ", t)
+    t = SPELLED.sub(lambda m: EDGE.sub("", m[0]), t)
+    t = EDGE.sub(" ", t)
     return f" {' '.join(t.split())} "
 
 
