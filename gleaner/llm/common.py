@@ -50,15 +50,17 @@ def stash(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     path = new_path(spark, name)
     writer = df.write.partitionBy(*by) if by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stash_path = path
+    return out
+
+
+def drop(*stashed: DataFrame) -> None:
+    """Remove the files of stashed tables that nothing reads any more."""
+    for df in stashed:
+        remove(df.sparkSession, df._stash_path)
 
 
 def held_out(doc_id) -> F.Column:
     """Rows that no classifier here learns from: crc32 of the id's digits, mod 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
-
-
-def batch_rows(spark: SparkSession, df: DataFrame, rows: int) -> DataFrame:
-    """Arrow batches of at most ``rows`` rows reach the Python workers of ``df``'s plan."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df

@@ -8,11 +8,14 @@ that can't reach the threshold go before any text is moved. What remains is
 confirmed on the full sets, computed anew from the texts.
 
 Documents with equal sets are one class. A bucket of a band is never expanded
-into pairs: its members are tried against its smallest class first, the
-confirmed links are joined into components, and only members of a bucket that
-are still in different components are compared, those outside the bucket's
-largest component against all, in blocks. So no link between components is
-lost, and a group of near copies costs about one confirmation for each.
+into pairs. Each class is tried against the class that leads most of its
+buckets, and confirmed links are joined into components. Then, in buckets that
+hold several components, members outside the largest one are compared with all,
+sketch by sketch, in blocks: for a few rounds the nearest partner of each is
+tried, and at last every pair across components that its sketches allow. So no
+link between components is lost, and a group of near copies costs about one
+confirmation for each. A second odd sketch, of the whole set, makes this last
+step small: sets can't be more alike than it says.
 """
 
 from __future__ import annotations
@@ -26,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import Prefix, groups, mix, raw_texts
-from .common import stash
+from .common import drop, stash
 from .components import connected_components
 from .imi import by_key
 
-SAMPLES, ROWS, SKETCH_BITS = 128, 5, 512  # 25 bands of 5 samples: a pair at 0.8 shares none once in 20,000
+SAMPLES, ROWS, SKETCH_BITS, FULL_BITS = 128, 5, 512, 2048  # 25 bands of 5 samples: a pair at 0.8 shares none once in 20,000
 BANDS = SAMPLES // ROWS
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -127,6 +130,21 @@ def estimate(differing: int) -> float:
     return 1 - (-SKETCH_BITS / 2 * np.log(max(1e-9, 1 - 2 * differing / SKETCH_BITS))) / (2 * SAMPLES)
 
 
+def full_sketch(s: np.ndarray) -> bytes:
+    """The odd sketch of a whole set: two of them never differ in more bits than their sets do in elements."""
+    bit = (mix(s ^ _S[0]) % np.uint64(FULL_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=FULL_BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def most_apart(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """How many elements two sets of these sizes may differ in: 100 * shared >= percent * union, solved for the rest."""
+    return (100 - percent) * (na + nb) // (100 + percent)
+
+
+def words64(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
 def set_hash(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
@@ -136,10 +154,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, c, rows, at = [], [], [], []
+            n, c, rows, at, full = [], [], [], [], []
             for i, s in enumerate(shingle_sets(b.column(1), words)):
                 n.append(len(s))
                 c.append(set_hash(s) if len(s) else None)
+                full.append(full_sketch(s) if len(s) else None)
                 if len(s):
                     rows.append(minhash(s))
                     at.append(i)
@@ -153,34 +172,35 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
                 for k, i in enumerate(at):
                     bands[i], sketches[i] = keys[k].view(np.int64), odd[k].tobytes()
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(c, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                names=["id", "n", "c", "bands", "sketch"],
+                [b.column(0), pa.array(n, pa.int64()), pa.array(c, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(full, pa.binary())],
+                names=["id", "n", "c", "bands", "sketch", "full"],
             )
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        sign, "id long, n long, c binary, bands array<long>, sketch binary"
+        sign, "id long, n long, c binary, bands array<long>, sketch binary, full binary"
     )
 
 
 def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs a, b whose sizes and sketches allow ``percent``."""
-    info = classes.select("c", "n", "sketch")
-    d = pairs.join(info.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-    d = d.join(info.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+    info = classes.select("c", "n", "sketch", "full")
+    d = pairs.join(info.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("full").alias("fa")), "a")
+    d = d.join(info.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("full").alias("fb")), "b")
     d = d.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     most = most_differing(percent / 100)
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(b.num_rows, -1) for k in ("sa", "sb"))
-                keep = np.bitwise_count(x ^ y).sum(1) <= most
+                keep = np.bitwise_count(words64(b.column("sa")) ^ words64(b.column("sb"))).sum(1) <= most
+                apart = np.bitwise_count(words64(b.column("fa")) ^ words64(b.column("fb"))).sum(1)
+                keep &= apart <= most_apart(b.column("na").to_numpy(), b.column("nb").to_numpy(), percent)
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
-    return d.select("a", "b", "sa", "sb").mapInArrow(close, "a binary, b binary")
+    return d.select("a", "b", "na", "nb", "sa", "sb", "fa", "fb").mapInArrow(close, "a binary, b binary")
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, chunks: int = 64) -> DataFrame:
     """Those pairs a, b whose full sets, from the whole texts, reach ``percent``."""
     spark = pairs.sparkSession
     needed = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
@@ -188,9 +208,8 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     few = needed.count() <= 50_000  # then 2 MB at most
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
     texts = stash(texts.join(F.broadcast(needed) if few else needed, F.col("_id").eqNullSafe(F.col("id"))).select("c", "text"), "texts")
-    # a class with many partners is dealt in chunks, each with its text
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("chunks"))
-    p = pairs.join(many, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int"))
+    # a class with many partners is dealt in up to ``chunks`` groups, each with its text
+    p = pairs.withColumn("chunk", F.pmod(F.xxhash64("b"), F.lit(chunks)).cast("int"))
     first = p.select("a", "chunk").distinct().join(texts.withColumnRenamed("c", "a"), "a").select("a", "chunk", F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
     rest = p.select("a", "chunk", "b").join(texts.withColumnRenamed("c", "b"), "b").select("a", "chunk", F.lit(1).alias("kind"), "b", "text")
     dealt = first.unionByName(rest).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "kind")
@@ -214,20 +233,42 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
                 yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(out), pa.binary()), pa.array(out, pa.binary())], names=["a", "b"])
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    return stash(dealt.mapInArrow(confirm, "a binary, b binary").distinct(), "confirmed")
+    out = stash(dealt.mapInArrow(confirm, "a binary, b binary"), "confirmed")
+    drop(needed, texts)
+    return out
+
+
+def _grow(pairs: DataFrame, links: DataFrame | None, tried: DataFrame | None, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, ...]:
+    """links, components and tried pairs with those of ``pairs``."""
+    new = _confirm(pairs, classes, docs, id_col, text_col, words, percent)
+    links = new if links is None else links.unionByName(new)
+    tried = pairs if tried is None else tried.unionByName(pairs)
+    return links, stash(connected_components(links, "a", "b"), "components"), tried
+
 
+def _leaders(members: DataFrame) -> DataFrame:
+    """One pair a, b for each class b that is not its buckets' smallest: the one that leads most of them, the smaller of equals."""
+    lead = members.groupBy("key").agg(F.min("c").alias("a"))
+    led = members.join(lead, "key").where(F.col("a") != F.col("c")).groupBy("c", "a").agg(F.count("*").alias("n"))
+    best = led.groupBy("c").agg(F.min(F.struct((-F.col("n")).alias("n"), "a")).alias("top"))
+    return best.select("top.a", F.col("c").alias("b"))
 
-def _across(members: DataFrame, comps: DataFrame, classes: DataFrame, percent: int, block: int = 2048) -> DataFrame:
-    """Pairs of a bucket that lie in different components and whose sketches allow ``percent``."""
+
+def _across(members: DataFrame, comps: DataFrame, classes: DataFrame, tried: DataFrame, percent: int, nearest: bool, block: int = 2048) -> DataFrame:
+    """Pairs of a bucket, not tried yet, that lie in different components and whose sketches allow ``percent``.
+
+    With ``nearest`` only the one of most similar sketches for each class
+    outside its bucket's largest component.
+    """
     m = members.join(comps.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    mixed = m.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where(F.col("r0") < F.col("r1")).select("key")
-    m = stash(m.join(mixed, "key"), "mixed")
-    most_of = m.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("size"))
-    most_of = most_of.select("key", F.col("top.root").alias("main"), F.ceil(F.col("size") / block).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("top.k")) / block).cast("int").alias("probes"))
-    m = m.join(most_of, "key").join(classes.select("c", "n", "sketch"), "c")
+    per = m.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("size"), F.count("*").alias("roots"))
+    chunks = lambda n: F.ceil(n / block).cast("int")
+    per = per.where("roots > 1").select("key", F.col("top.root").alias("main"), chunks(F.col("size")).alias("blocks"), chunks(F.col("size") - F.col("top.k")).alias("probes"))
+    m = held_rows = stash(m.join(per, "key"), "mixed")
+    m = m.join(classes.select("c", "n", "sketch", "full"), "c")
     own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
     alone = F.pmod(F.xxhash64("c", F.lit(7)), F.col("probes")).cast("int")
-    names = ["key", "x", "y", "kind", "c", "root", "n", "sketch"]
+    names = ["key", "x", "y", "kind", "c", "root", "n", "sketch", "full"]
     held = m.withColumn("x", own).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("probes") - 1))).withColumn("kind", F.lit(0))
     asked = m.where(F.col("root") != F.col("main")).withColumn("y", alone).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("kind", F.lit(1))
     dealt = held.select(*names).unionByName(asked.select(*names)).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "kind")
@@ -235,6 +276,14 @@ def _across(members: DataFrame, comps: DataFrame, classes: DataFrame, percent: i
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, buffer, ready = None, [], None
+        out: list[list] = [[], [], []]
+
+        def flush() -> pa.RecordBatch:
+            b = pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.float64())], names=["p", "o", "apart"])
+            for x in out:
+                x.clear()
+            return b
+
         for key, b in by_key(batches, ["key", "x", "y", "kind"]):
             if key[:3] != now:
                 now, buffer, ready = key[:3], [], None
@@ -244,24 +293,36 @@ def _across(members: DataFrame, comps: DataFrame, classes: DataFrame, percent: i
             if not buffer:
                 continue
             if ready is None:
-                t = pa.Table.from_batches(buffer)
-                ready = [t.column(k).to_pylist() for k in ("c", "root")] + [t.column("n").to_numpy(), np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(t.num_rows, -1)]
-            cs, roots, n, x = ready
-            out_a, out_b = [], []
-            for c, root, size, sketch in zip(*(b.column(k).to_pylist() for k in ("c", "root", "n", "sketch")), strict=True):
-                near = np.bitwise_count(x ^ np.frombuffer(sketch, np.uint64)).sum(1) <= most
-                near &= (100 * np.minimum(n, size) >= percent * np.maximum(n, size))
-                for j in np.flatnonzero(near).tolist():
-                    if roots[j] != root:
-                        out_a.append(min(c, cs[j]))
-                        out_b.append(max(c, cs[j]))
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
-
-    return dealt.mapInArrow(compare, "a binary, b binary").distinct()
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 80) -> DataFrame:
+                t = pa.Table.from_batches(buffer).combine_chunks()
+                cs, roots = t.column("c").to_pylist(), t.column("root").to_pylist()
+                ready = cs, roots, t.column("n").to_numpy(), words64(t.column("sketch")), words64(t.column("full"))
+            cs, roots, n, x, full = ready
+            own_n, own_x, own_full = b.column("n").to_numpy(), words64(b.column("sketch")), words64(b.column("full"))
+            for i, (c, root) in enumerate(zip(b.column("c").to_pylist(), b.column("root").to_pylist(), strict=True)):
+                near = np.flatnonzero(np.bitwise_count(x ^ own_x[i]).sum(1) <= most)
+                apart = np.bitwise_count(full[near] ^ own_full[i]).sum(1)
+                fits = apart <= most_apart(n[near], own_n[i], percent)
+                near, share = near[fits], apart[fits] / (n[near[fits]] + own_n[i])
+                for j in np.argsort(share, kind="stable").tolist():
+                    if roots[near[j]] != root:
+                        out[0].append(c)
+                        out[1].append(cs[near[j]])
+                        out[2].append(float(share[j]))
+                        if nearest:
+                            break
+            if len(out[0]) > 10_000:
+                yield flush()
+        yield flush()
+
+    found = dealt.mapInArrow(compare, "p binary, o binary, apart double")
+    if nearest:
+        found = found.groupBy("p").agg(F.min(F.struct("apart", "o")).alias("top")).select("p", "top.o")
+    out = stash(found.select(F.least("p", "o").alias("a"), F.greatest("p", "o").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    drop(held_rows)
+    return out
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 80, rounds: int = 2) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept.
 
     Documents link if ``percent`` of the union of their shingle sets is shared.
@@ -277,18 +338,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     try:
         sigs = stash(signatures(docs, id_col, text_col, words), "signatures")
         filled = sigs.where(F.col("c").isNotNull())
-        classes = stash(filled.groupBy("c").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+        classes = stash(filled.groupBy("c").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("full").alias("full")), "classes")
         in_bands = classes.select(F.explode("bands").alias("key"), "c")
-        lead = in_bands.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("z")).where(F.col("a") < F.col("z")).select("key", "a")
-        members = stash(in_bands.join(lead, "key"), "members")  # of buckets with two classes or more
-        pairs = members.where(F.col("a") != F.col("c")).select("a", F.col("c").alias("b")).distinct()
-        tried = stash(_near(pairs, classes, percent), "pairs")
-        links = _confirm(tried, classes, docs, id_col, text_col, words, percent)
-        comps = stash(connected_components(links, "a", "b"), "components")
-        more = stash(_across(members.select("key", "c"), comps, classes, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if more.limit(1).count():
-            links = links.unionByName(_confirm(more, classes, docs, id_col, text_col, words, percent))
-            comps = stash(connected_components(links, "a", "b"), "components")
+        crowded = in_bands.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("z")).where(F.col("a") < F.col("z")).select("key")
+        members = stash(in_bands.join(crowded, "key"), "members")  # of buckets with two classes or more
+        pairs, tried, links = stash(_near(_leaders(members), classes, percent), "pairs"), None, None
+        # nearest partners across components, and at last all pairs that are left
+        for nearest in [*[True] * rounds, False]:
+            if links is None or pairs.limit(1).count():
+                links, comps, tried = _grow(pairs, links, tried, classes, docs, id_col, text_col, words, percent)
+            elif nearest:
+                continue
+            pairs = _across(members, comps, classes, tried, percent, nearest)
+        if pairs.limit(1).count():
+            links, comps, tried = _grow(pairs, links, tried, classes, docs, id_col, text_col, words, percent)
+        drop(members)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     placed = classes.select("c", "id").join(comps, F.col("c") == F.col("node"), "left").select("c", "id", F.coalesce("root", "c").alias("root"))

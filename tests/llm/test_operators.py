@@ -139,14 +139,15 @@ def test_multi_sequence_is_in_order():
     assert sums == sorted(sums) and len(sums) == 6
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 50_000])
+def test_components(spark, one_task):
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)] + [(None, 3), (7, 7)]
     df = spark.createDataFrame(edges, "a long, b long")
-    got = {x.node: x.root for x in connected_components(df, "a", "b").collect()}
+    got = {x.node: x.root for x in connected_components(df, "a", "b", one_task=one_task).collect()}
     up = roots(500, [(a, b) for a, b in edges if a is not None])
     assert got == {i: u for i, u in enumerate(up) if u != i}
-    assert connected_components(df.limit(0), "a", "b").count() == 0
+    assert connected_components(df.limit(0), "a", "b", one_task=one_task).count() == 0
 
 
 # 3
@@ -372,7 +373,7 @@ def test_communication_matrix():
 
 
 def test_folding():
-    assert fold("ÏDI0T, ｉｄｉｏｔ іdiоt! id1ot### 2024 4 you") == " idiot idiot idiot idiot you "
+    assert fold("ÏDI0T, ｉｄｉｏｔ іdiоt! id1ot### 1d10t i.d.i-o.t 2024 4 you e.g. so") == " idiot idiot idiot idiot idiot idiot you e g so "
 
 
 def fold(t):
