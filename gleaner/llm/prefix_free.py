@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import BASE2, Prefix, raw_texts
-from .common import stash
+from .common import drop, stash
 from .imi import by_key
 
 GRAM, BUFFER, PLACE = 16, 1 << 18, np.uint64((1 << 20) - 1)
@@ -176,10 +176,11 @@ def _edges(edges: DataFrame, length: int, most: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int, reach: int, most: int) -> DataFrame:
-    """id, th, s, e: byte ranges that repeated windows cover, of rows id, th, text."""
+    """id, th, spans (array of s, e): byte ranges that repeated windows cover, of rows id, th, text."""
     parsed = stash(parse(docs, length, reach), "phrases")
     shared = parsed.groupBy("b").agg(F.count("*").alias("k")).where("k > 1").select("b")
-    parsed = stash(parsed.join(shared, "b", "left_semi"), "shared-phrases")
+    every, parsed = parsed, stash(parsed.join(shared, "b", "left_semi"), "shared-phrases")
+    drop(every)
     # the dictionary: distinct phrases with their counts and one place of each
     entry = ["b", "dmin", "dmax", "c"]
     dictionary = stash(parsed.groupBy(*entry).agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "t")).alias("at")), "dictionary")
@@ -207,7 +208,10 @@ def repeated_spans(docs: DataFrame, length: int, reach: int, most: int) -> DataF
     held = docs.select("id", "th", "text").join(needed.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "phrases"), same)
     edges = stash(held.select("id", "th", "text", "phrases").mapInArrow(read, "id long, th long, t int, dmin int, dmax int, b long, n long, bytes binary"), "edges")
     # equal rows (id and text) read their phrases twice; those phrases repeat and are no edges of their own
-    return whole.unionByName(_edges(edges.dropDuplicates(["b", "dmin", "dmax", "id", "th", "t"]), length, most))
+    spans = whole.unionByName(_edges(edges.dropDuplicates(["b", "dmin", "dmax", "id", "th", "t"]), length, most))
+    out = stash(spans.groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")  # a text's own
+    drop(parsed, dictionary, edges)
+    return out
 
 
 def remove_repeats(
@@ -229,7 +233,6 @@ def remove_repeats(
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # long texts: small batches
     try:
         spans = repeated_spans(d, length, reach, most)
-        spans = stash(spans.groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")  # a text's own
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
