@@ -1,7 +1,7 @@
 """A deterministic corpus in the domain's vocabulary, made of doc_id arithmetic.
 
 The driver's documents hold almost no word of the dictionaries. This builds one
-résumé-like text for each of them; the same SQL text runs in both engines.
+résumé-like text for each of them, with the document's whole text behind it.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ def _pick(k: int, *texts: str) -> str:
     return "CASE doc_id % " + str(k) + "".join(f" WHEN {i} THEN {t}" for i, t in enumerate(quoted[:-1])) + f" ELSE {quoted[-1]} END"
 
 
-def _lines() -> list[str]:
+def _lines(whole: bool) -> list[str]:
     year = "(2008 + doc_id % 9)"
     return [
         _pick(5, "Siti Rahma", "Budi Santoso", "Anna Miller", "John O'Brien-Smith", "  CURRICULUM VITAE  "),
@@ -88,20 +88,24 @@ def _lines() -> list[str]:
             "Sarjana Ekonomi",
             "Self taught",
         ),
-        "split_part(coalesce(text, ''), chr(10), 1)",
+        "coalesce(text, '')" if whole else "split_part(coalesce(text, ''), chr(10), 1)",
     ]
 
 
-def corpus_sql(documents: str = "documents") -> str:
-    """doc_id, text; every third document ends without a line break, every eleventh has CR LF line ends."""
-    body = f" || {NL} || ".join(_lines())
+def corpus_sql(documents: str = "documents", whole: bool = False) -> str:
+    """doc_id, text; every third document ends without a line break, every eleventh has CR LF line ends.
+
+    The document's own text stands last: with ``whole`` all of it, else its
+    first line, as in the DuckDB SQL.
+    """
+    body = f" || {NL} || ".join(_lines(whole))
     return f"""SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN replace(body, chr(10), chr(13) || chr(10)) WHEN doc_id % 3 = 0 THEN body ELSE body || chr(10) END AS text
 FROM (SELECT doc_id, {body} AS body FROM {documents}) AS b"""
 
 
 def cv_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return spark.sql(corpus_sql("{documents}"), documents=documents)
+    return spark.sql(corpus_sql("{documents}", whole=True), documents=documents)
 
 
 REQUIREMENTS = [
