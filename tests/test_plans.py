@@ -38,3 +38,11 @@ def test_later_lines_are_analysed(spark, sf):
     assert {r.doc_id for r in rows(spark, sf, "redundant_pairs") if "quarterly" in r.evidence_a} == odd
     assert all("deep.example.org" not in r.redacted for r in rows(spark, sf, "redact_text"))
     assert {r.word: r.n for r in rows(spark, sf, "word_freq")}["quarterly"] == 2 * len(odd)
+
+
+def test_whole_texts_are_decoded(spark, tmp_path):
+    long = "a" * 50 + " é 😀 и\n" * 900
+    texts = {1: long, 2: "short", 3: long, 4: None, 5: "", 6: None, 9: ""}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {k: t if k % 3 else ((t or "").encode() + b"\xe9\xe8").decode("latin-1") for k, t in texts.items()}
+    assert {r.doc_id: r.text for r in rows(spark, str(tmp_path), "text_decode")} == want
