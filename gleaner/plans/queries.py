@@ -446,7 +446,7 @@ def rate_limit_stream(spark, sf):
 
 
 def _numbered(spark: SparkSession, sf: str) -> DataFrame:
-    return rewrite.number_findings(_findings(spark, sf).where(F.col("kind") == "vague_bullet"))
+    return rewrite.number_findings(_findings(spark, sf))
 
 
 @query
@@ -458,6 +458,7 @@ def _answers(spark: SparkSession, sf: str) -> DataFrame:
     """Recorded answers: the message again, an unrelated sentence, or an echo of the evidence, by doc_id."""
     body = F.when(F.col("doc_id") % 3 == 0, F.col("message")).when(F.col("doc_id") % 3 == 1, F.lit("Hire this excellent candidate now")).otherwise(F.col("evidence"))
     mark = F.when(F.col("doc_id") % 2 == 0, ". ").otherwise(") ")
+    body = F.regexp_replace(body, r"[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]+", " ")  # one line for each finding
     d = _numbered(spark, sf).select("doc_id", F.struct("finding_no", F.concat(F.col("finding_no").cast("string"), mark, body).alias("s")).alias("x"))
     return d.groupBy("doc_id").agg(F.concat(F.lit("Sure:\n"), F.array_join(F.sort_array(F.collect_list("x"))["s"], "\n")).alias("answer"))
 

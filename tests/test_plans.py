@@ -46,3 +46,18 @@ def test_whole_texts_are_decoded(spark, tmp_path):
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     want = {k: t if k % 3 else ((t or "").encode() + b"\xe9\xe8").decode("latin-1") for k, t in texts.items()}
     assert {r.doc_id: r.text for r in rows(spark, str(tmp_path), "text_decode")} == want
+
+
+def test_findings_of_all_kinds_are_rewritten(spark, sf):
+    kinds = ["missing_section", "vague_bullet", "redundant_pair", "unsupported_claim"]
+    own = {}
+    for r in queries._findings(spark, sf).collect():
+        own.setdefault(r.doc_id, []).append((kinds.index(r.kind), r.start_off or 0, int(r.line_a or 0), int(r.line_b or 0), r.message))
+    want = {(d, i, m[-1]) for d, found in own.items() for i, m in enumerate(sorted(found)[:10], 1)}
+    numbered = queries._numbered(spark, sf).collect()
+    assert {(r.doc_id, r.finding_no, r.message) for r in numbered} == want and {r.kind for r in numbered} == set(kinds)
+    prompts = {r.doc_id: r for r in rows(spark, sf, "llm_prompt")}
+    assert {d: r.n_findings for d, r in prompts.items()} == {d: min(10, len(found)) for d, found in own.items()}
+    for name in ("parse_numbered", "verify_keyword", "rewrite_findings"):
+        assert {(r.doc_id, r.finding_no) for r in rows(spark, sf, name)} == {x[:2] for x in want}
+    assert rows(spark, sf, "faithfulness")[0].n == len(want)
