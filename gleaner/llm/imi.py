@@ -241,8 +241,8 @@ def search(
                 x = matrix([v for p in buffer for v in p.column("v").to_pylist()])
                 own = np.frombuffer(b"".join(c for p in buffer for c in p.column("cells").to_pylist()), "<i4")
                 ids = [i for p in buffer for i in p.column("ids").to_pylist()]
-                ready = x, own, ids
-            x, own, ids = ready
+                ready = x, own, ids, np.linalg.norm(x, axis=1).max()
+            x, own, ids, longest = ready
             top_id = np.array([i[0] for i in ids])
             reps, qs, lists = b.column("rep").to_pylist(), matrix(b.column("v").to_pylist()), b.column("cells").to_pylist()
             for at in range(0, len(reps), 256):
@@ -253,18 +253,22 @@ def search(
                     cells_here = np.frombuffer(lists[at + r], "<i4")
                     allowed[cells_here[cells_here < len(allowed)]] = True
                     s = np.where(allowed[own], near[r], -np.inf)
-                    pick = np.argpartition(-s, min(k + 8, len(s) - 1))[: k + 9] if len(s) > k + 9 else np.arange(len(s))
+                    if len(s) > k + 1:  # all that may tie with the last place: the margin is over what sums in another order differ by
+                        margin = 4 * x.shape[1] * np.finfo(float).eps * np.linalg.norm(qs[at + r]) * longest
+                        pick = np.flatnonzero(s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1] - margin)
+                    else:
+                        pick = np.arange(len(s))
                     pick = pick[np.isfinite(s[pick])]
                     exact = np.add.accumulate(qs[at + r] * x[pick], axis=1)[:, -1] if len(pick) else np.zeros(0)
-                    taken = 0
+                    best = []
                     for j in np.lexsort((top_id[pick], -exact)):
-                        for i in ids[pick[j]]:
-                            out_q.append(rep)
-                            out_s.append(exact[j])
-                            out_i.append(i)
-                        taken += len(ids[pick[j]])
-                        if taken > k:
+                        if len(best) > k and -exact[j] != best[-1][0]:
                             break
+                        best += [(-exact[j], i) for i in ids[pick[j]][: k + 1]]
+                    for negative, i in sorted(best)[: k + 1]:
+                        out_q.append(rep)
+                        out_s.append(-negative)
+                        out_i.append(i)
                 yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_s, pa.float64()), pa.array(out_i, pa.int64())], names=["rep", "score", "vec_id"])
 
     found = dealt.mapInArrow(score, "rep long, score double, vec_id long")
