@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
     Only where the session names none (tests, local runs) is a folder of our
-    own set.
+    own set; a cluster that names none is an error, since its machines share no
+    temporary folder.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="gleaner-"))
         base = sc.getCheckpointDir()
     return base.rstrip("/")
@@ -61,6 +67,45 @@ def drop(*stashed: DataFrame) -> None:
         remove(df.sparkSession, df._stash_path)
 
 
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 20, most_rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about ``most_bytes`` of text; a longer text is a piece of its own.
+
+    An Arrow batch holds thousands of rows; what is made of it, row by row, should not be held for all of them.
+    """
+    sizes = np.diff(np.frombuffer(offsets_of(batch.column(column)), np.int64))
+    i, n = 0, batch.num_rows
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    while i < n:
+        j = min(max(i + 1, int(np.searchsorted(total, total[i] + most_bytes, side="right")) - 1), i + most_rows, n)
+        yield batch.slice(i, j - i)
+        i = j
+
+
+def offsets_of(column: pa.Array) -> bytes:
+    """Offsets of a string or binary column's rows, as 64-bit integers."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    if not len(column):
+        return bytes(8)
+    raw = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)
+    return raw[column.offset : column.offset + len(column) + 1].astype(np.int64).tobytes()
+
+
+_WORKER: dict[str, object] = {}
+
+
+class Shared:
+    """A broadcast value and what a worker process builds of it, once; another one takes its place, so that stages don't add up."""
+
+    def __init__(self, spark: SparkSession, value, build: Callable):
+        self.key, self.value, self.build = uuid.uuid4().hex, spark.sparkContext.broadcast(value), build
+
+    def get(self):
+        if self.key not in _WORKER:
+            _WORKER.clear()
+            _WORKER[self.key] = self.build(self.value.value)
+        return _WORKER[self.key]
+
+
 def held_out(doc_id) -> F.Column:
     """Rows that no classifier here learns from: crc32 of the id's digits, mod 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

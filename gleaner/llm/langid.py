@@ -18,6 +18,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Shared, slices
+
 UNKNOWN = "und"
 LETTER = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]")
 
@@ -45,16 +47,15 @@ def train_dictionaries(rows: DataFrame, lang_col: str, text_col: str, id_col: st
         raise ValueError(f"more than {max_langs} languages")
     if not picked:
         return {}
-    keys = [int(r["k"]) for r in picked]
     at = F.pmod(F.shiftright("k", 7), F.greatest(F.length(text_col) - chars_per_doc + 1, F.lit(1))).cast("int") + 1
-    chosen = usable.withColumn("k", key).where(F.col("k").isin(keys) if len(keys) < 50 else F.array_contains(F.lit(keys), F.col("k")))
+    keys = rows.sparkSession.createDataFrame([(r["lang"], int(r["k"])) for r in picked], "_lang string, _k long")
+    # at most docs_per_lang * max_langs short rows are broadcast
+    chosen = usable.withColumn("k", key).join(F.broadcast(keys), (F.col("k") == F.col("_k")) & (F.col(lang_col) == F.col("_lang")))
     got = chosen.select(F.col(lang_col).alias("lang"), "k", F.expr("1").alias("one"), F.substring(F.col(text_col), at, F.lit(chars_per_doc)).alias("piece"))
     got = got.groupBy("lang", "k").agg(F.min("piece").alias("piece")).collect()
-    ranked = {(r["lang"], r["k"]) for r in picked}
     out: dict[str, list[tuple[int, str]]] = {}
     for r in got:
-        if (r["lang"], r["k"]) in ranked:
-            out.setdefault(r["lang"], []).append((r["k"], r["piece"]))
+        out.setdefault(r["lang"], []).append((r["k"], r["piece"]))
     rows_of = {r["lang"]: r["n"] for r in usable.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
     order = sorted(out, key=lambda x: (-rows_of[x], x))  # equal sizes go to the language with more rows
     return {lang: "\n".join(x for _, x in sorted(out[lang])).lower().encode() for lang in order}
@@ -99,17 +100,6 @@ class CompressionClassifier:
         return ranked[0][1], 1 / (1 + math.exp(-40 * margin)), margin
 
 
-_MODELS: dict[str, CompressionClassifier] = {}
-
-
-def _model(shared) -> CompressionClassifier:  # one per worker process
-    key = str(getattr(shared, "id", id(shared)))
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = CompressionClassifier(shared.value)
-    return _MODELS[key]
-
-
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", min_margin: float = 0.002) -> DataFrame:
     """``docs`` with lang_pred, lang_score (0 to 1), lang_margin and lang_rejected.
 
@@ -118,15 +108,15 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
     ``min_margin``; lang_pred keeps the best guess. Whole texts are read. Other
     columns pass through; columns with these four names are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # bounded by train_dictionaries
+    shared = Shared(docs.sparkSession, dictionaries, CompressionClassifier)  # bounded by train_dictionaries
     new = ("lang_pred", "lang_score", "lang_margin", "lang_rejected")
     keep = [c for c in docs.columns if c not in new]
     at = keep.index(text_col)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, lang_score double, lang_margin double, lang_rejected boolean"
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(shared)
-        for b in batches:
+        model = shared.get()
+        for b in (piece for whole in batches for piece in slices(whole, at)):
             got = [model.predict(x.as_py()) for x in b.column(at)]
             langs, scores, margins = ([g[i] for g in got] for i in range(3))
             arrays = [b.column(i) for i in range(len(keep))]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, remove, stash
+from .common import new_path, remove, slices, stash
 
 SPACE = b" \t\n\x0b\x0c\r"
 LAST = 2**63 - 1  # stands for a null id, after every other
@@ -68,7 +68,7 @@ def line_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
     """doc, h: the distinct line keys of each row."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole, 1)):
             ids, out = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = {line_key(x, min_chars) for x in (text.as_buffer().to_pybytes() if text.is_valid else b"").split(b"\n")} - {None}
@@ -126,7 +126,7 @@ def _drop_lines(docs: DataFrame, lost: DataFrame, id_col: str, text_col: str, mi
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", line_count long, lines_dropped long" + (", kept_sha256 string" if digest else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (piece for whole in batches for piece in slices(whole, len(keep))):
             counts, drops, texts = [], [], []
             losts = b.column(len(keep) + 1)
             for text, lost_here in zip(b.column(len(keep)), losts, strict=True):

@@ -5,7 +5,9 @@ for the candidate search and are folded into an odd sketch: a bitmap in which
 each sample flips one bit. The population count of two sketches' XOR estimates
 how many samples differ, precisely where similarities are high, so candidates
 that can't reach the threshold go before any text is moved. What remains is
-confirmed on the full sets, computed anew from the texts.
+confirmed on the full sets of the words themselves, computed anew from the
+texts; only sets that agree in all hashes, 64 bits of a cryptographic digest a
+word, are taken as equal without that.
 
 Documents with equal sets are one class. A bucket of a band is never expanded
 into pairs. Each class is tried against the class that leads most of its
@@ -28,18 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytehash import Prefix, groups, mix, raw_texts
-from .common import drop, stash
+from .bytehash import mix
+from .common import drop, slices, stash
 from .components import connected_components
 from .imi import by_key
 
 SAMPLES, ROWS, SKETCH_BITS, FULL_BITS = 128, 5, 512, 2048  # 25 bands of 5 samples: a pair at 0.8 shares none once in 20,000
 BANDS = SAMPLES // ROWS
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_PIECE = 1 << 20
 
 
 def _odd(seed: int, n: int) -> np.ndarray:
@@ -51,57 +48,40 @@ _W = _odd(2, 64)
 _S = _odd(3, SAMPLES)
 
 
-def _cuts(data: np.ndarray, start: int, end: int) -> list[int]:
-    """Places at white space that part a long text into pieces of bounded size where it has white space."""
-    out = [start]
-    while end - out[-1] > _PIECE:
-        near = np.flatnonzero(_SPACE[data[out[-1] + _PIECE : end]][: 1 << 22])
-        if not len(near):
-            break
-        out.append(out[-1] + _PIECE + int(near[0]))
-    return [*out, end]
-
-
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all rows in order, and the number of words of each row."""
-    hashes, counts = [], np.zeros(len(offsets) - 1, np.int64)
-    for i, j in groups(offsets, _PIECE):
-        cuts = _cuts(data, int(offsets[i]), int(offsets[j])) if j == i + 1 else [int(offsets[i]), int(offsets[j])]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            d = _LOWER[data[a:b]]
-            word = ~_SPACE[d]
-            n = len(d)
-            if not word.any():
-                continue
-            border = np.zeros(n + 1, bool)
-            inner = offsets[i : j + 1] - a
-            border[inner[(inner >= 0) & (inner <= n)]] = True
-            border[0] = border[n] = True
-            starts = np.flatnonzero(word & (border[:-1] | ~np.concatenate([[False], word[:-1]])))
-            ends = np.flatnonzero(word & (border[1:] | ~np.concatenate([word[1:], [False]]))) + 1
-            hashes.append(Prefix(d).of(starts, ends))
-            rows = np.searchsorted(offsets, starts + a, side="right") - 1
-            counts += np.bincount(rows, minlength=len(counts))
-    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), counts
-
-
-def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each row's whole text."""
-    data, offsets = raw_texts(column)
-    w, counts = word_hashes(data, offsets)
-    at = 0
-    for n in counts.tolist():
-        own = w[at : at + n]
-        at += n
-        if n >= words:
-            h = own[: n - words + 1] * _W[0]
-            for k in range(1, words):
-                h = h + own[k : n - words + 1 + k] * _W[k]
-            yield np.unique(mix(h))
-        elif n:
-            yield mix(np.array([(own * _W[:n]).sum() + np.uint64(n)], np.uint64))
-        else:
-            yield own
+class WordHashes(dict):
+    """Word -> 64 bits of its BLAKE2b digest; words seen lately are kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 50_000:
+            self.clear()
+        got = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 64:
+            self[word] = got
+        return got
+
+
+def words_of(text: pa.Scalar) -> list[bytes]:
+    """The words of a whole text; bytes.lower() changes A-Z only, bytes.split() parts at ASCII white space only."""
+    return text.as_buffer().to_pybytes().lower().split() if text.is_valid else []
+
+
+def shingle_hashes(own: list[bytes], words: int, known: WordHashes) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text's words."""
+    n = len(own)
+    w = np.fromiter(map(known.__getitem__, own), np.uint64, n)
+    if n >= words:
+        h = w[: n - words + 1] * _W[0]
+        for k in range(1, words):
+            h = h + w[k : n - words + 1 + k] * _W[k]
+        return np.unique(mix(h))
+    if n:
+        return mix(np.array([(w * _W[:n]).sum() + np.uint64(n)], np.uint64))
+    return w
+
+
+def shingle_set(own: list[bytes], words: int) -> set[bytes]:
+    """The shingles themselves; a word holds no space, so the joint text tells its words."""
+    return {b" ".join(own[i : i + words]) for i in range(max(1, len(own) - words + 1))} if own else set()
 
 
 def minhash(s: np.ndarray) -> np.ndarray:
@@ -153,9 +133,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
     """id, n (size of the set), c (hash of the set, null if it is empty), bands and sketch, per row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        known = WordHashes()
+        for b in (piece for whole in batches for piece in slices(whole, 1)):
             n, c, rows, at, full = [], [], [], [], []
-            for i, s in enumerate(shingle_sets(b.column(1), words)):
+            for i, text in enumerate(b.column(1)):
+                s = shingle_hashes(words_of(text), words, known)
                 n.append(len(s))
                 c.append(set_hash(s) if len(s) else None)
                 full.append(full_sketch(s) if len(s) else None)
@@ -202,7 +184,6 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, chunks: int = 64) -> DataFrame:
     """Those pairs a, b whose full sets, from the whole texts, reach ``percent``."""
-    spark = pairs.sparkSession
     needed = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
     needed = stash(needed.join(classes.select("c", "id"), "c"), "needed")
     few = needed.count() <= 50_000  # then 2 MB at most
@@ -215,24 +196,25 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     dealt = first.unionByName(rest).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "kind")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, own = None, None
-        for key, b in by_key(batches, ["a", "chunk", "kind"]):
+        now, own, known = None, None, WordHashes()
+        for key, b in by_key((piece for whole in batches for piece in slices(whole, 4)), ["a", "chunk", "kind"]):
             if key[:2] != now:
                 now, own = key[:2], None
             out = []
-            for c, s in zip(b.column("b").to_pylist(), shingle_sets(b.column("text"), words), strict=True):
-                if set_hash(s) != c:
+            for c, text in zip(b.column("b").to_pylist(), b.column("text"), strict=True):
+                mine = words_of(text)
+                if set_hash(shingle_hashes(mine, words, known)) != c:
                     continue  # another row of the same id
                 if key[2] == 0:
-                    own = s
+                    own = shingle_set(mine, words)
                 elif own is not None:
-                    both = len(np.intersect1d(own, s, assume_unique=True))
+                    s = shingle_set(mine, words)
+                    both = len(own & s)
                     if 100 * both >= percent * (len(own) + len(s) - both):
                         out.append(c)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(out), pa.binary()), pa.array(out, pa.binary())], names=["a", "b"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     out = stash(dealt.mapInArrow(confirm, "a binary, b binary"), "confirmed")
     drop(needed, texts)
     return out
@@ -332,29 +314,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     link like others and are never the smallest unless all are null. Columns
     other than id and text are not read.
     """
-    spark = docs.sparkSession
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # long texts: small batches
-    try:
-        sigs = stash(signatures(docs, id_col, text_col, words), "signatures")
-        filled = sigs.where(F.col("c").isNotNull())
-        classes = stash(filled.groupBy("c").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("full").alias("full")), "classes")
-        in_bands = classes.select(F.explode("bands").alias("key"), "c")
-        crowded = in_bands.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("z")).where(F.col("a") < F.col("z")).select("key")
-        members = stash(in_bands.join(crowded, "key"), "members")  # of buckets with two classes or more
-        pairs, tried, links = stash(_near(_leaders(members), classes, percent), "pairs"), None, None
-        # nearest partners across components, and at last all pairs that are left
-        for nearest in [*[True] * rounds, False]:
-            if links is None or pairs.limit(1).count():
-                links, comps, tried = _grow(pairs, links, tried, classes, docs, id_col, text_col, words, percent)
-            elif nearest:
-                continue
-            pairs = _across(members, comps, classes, tried, percent, nearest)
-        if pairs.limit(1).count():
+    sigs = stash(signatures(docs, id_col, text_col, words), "signatures")
+    filled = sigs.where(F.col("c").isNotNull())
+    classes = stash(filled.groupBy("c").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("full").alias("full")), "classes")
+    in_bands = classes.select(F.explode("bands").alias("key"), "c")
+    crowded = in_bands.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("z")).where(F.col("a") < F.col("z")).select("key")
+    members = stash(in_bands.join(crowded, "key"), "members")  # of buckets with two classes or more
+    pairs, tried, links = stash(_near(_leaders(members), classes, percent), "pairs"), None, None
+    # nearest partners across components, and at last all pairs that are left
+    for nearest in [*[True] * rounds, False]:
+        if links is None or pairs.limit(1).count():
             links, comps, tried = _grow(pairs, links, tried, classes, docs, id_col, text_col, words, percent)
-        drop(members)
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        elif nearest:
+            continue
+        pairs = _across(members, comps, classes, tried, percent, nearest)
+    if pairs.limit(1).count():
+        links, comps, tried = _grow(pairs, links, tried, classes, docs, id_col, text_col, words, percent)
+    drop(members)
     placed = classes.select("c", "id").join(comps, F.col("c") == F.col("node"), "left").select("c", "id", F.coalesce("root", "c").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("id").alias("component_id"))
     info = placed.join(smallest, "root").select("c", "component_id")

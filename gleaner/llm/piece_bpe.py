@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Shared, slices
+
 SPACE = "▁"
 UNITS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
@@ -100,10 +102,10 @@ class PieceTable:
 class PieceCodec:
     """Encodes and decodes with a PieceTable. Memoises units of text up to ``memo`` of them."""
 
-    def __init__(self, table: PieceTable, memo: int = 300_000):
+    def __init__(self, table: PieceTable, memo: int = 60_000):
         self.t, self.memo_size = table, memo
         self.memo: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by a * 2**32 + b, up to 4 * memo of them
         self.auto = ahocorasick.Automaton()
         for r, p in enumerate(table.text):
             if table.reachable[r]:
@@ -173,7 +175,7 @@ class PieceCodec:
 
     def _fits(self, a: int, b: int) -> bool:
         """Whether pieces a, b (by rank) stay apart when their joint text is merged."""
-        key = (a, b)
+        key = a << 32 | b
         got = self.pairs.get(key)
         if got is not None:
             return got
@@ -195,7 +197,7 @@ class PieceCodec:
                     limit, a = a, t.right[a]
                     if a == limit:
                         break
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) > 4 * self.memo_size:
             self.pairs.clear()
         self.pairs[key] = fits
         return fits
@@ -294,43 +296,37 @@ class PieceCodec:
         return self.decode_bytes(list(ids)).decode()
 
 
-_CODECS: dict[str, PieceCodec] = {}
-
-
-def _codec(shared) -> PieceCodec:  # one per worker process
-    key = str(shared.id if hasattr(shared, "id") else id(shared))
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = PieceCodec(shared.value)
-    return _CODECS[key]
-
-
-def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, decode: bool = True) -> DataFrame:
     """One row per document: the id, n_tokens, and ids with the decoded text, or their digests.
 
     With ``digest`` the columns are ids_sha256 (of the ids as little-endian
     unsigned 32-bit integers) and decoded_sha256 (of the decoded text in
-    UTF-8); else ids (array of int) and decoded. A null text counts as empty:
-    begin and end ids only. Rows are independent; repeated rows give repeated
-    results and extra columns are left out.
+    UTF-8); else ids (array of int) and decoded, or ids alone without
+    ``decode``. A null text counts as empty: begin and end ids only. Rows are
+    independent; repeated rows give repeated results, null ids stay null and
+    extra columns are left out. An empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(PieceTable(model_file))
+    shared = Shared(docs.sparkSession, PieceTable(model_file), PieceCodec)  # the vocabulary's size
     id_type = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string")
-    names = [id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))]
+    kinds = {"ids_sha256": "string", "decoded_sha256": "string"} if digest else {"ids": "array<int>", "decoded": "string"}
+    if not decode:
+        kinds = dict(list(kinds.items())[:1])
+    schema = f"`{id_col}` {id_type}, n_tokens long, " + ", ".join(f"{k} {v}" for k, v in kinds.items())
+    names = [id_col, "n_tokens", *kinds]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared)
-        for b in batches:
-            n, one, two = [], [], []
-            for text in b.column(1):
-                raw = codec.encode_bytes(text.as_py() or "")
-                ids = np.frombuffer(raw, "<u4")
-                decoded = codec.decode_bytes(ids.tolist())
-                n.append(len(ids))
-                one.append(hashlib.sha256(raw).hexdigest() if digest else ids.astype(np.int32))
-                two.append(hashlib.sha256(decoded).hexdigest() if digest else decoded.decode())
-            arrays = [b.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string() if digest else pa.list_(pa.int32())), pa.array(two, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+        codec = shared.get()
+        for b in (piece for whole in batches for piece in slices(whole, 1, 1 << 19)):
+            raws = [codec.encode_bytes(text.as_py() or "") for text in b.column(1)]
+            n = np.array([len(raw) // 4 for raw in raws], np.int64)
+            if digest:
+                columns = [pa.array([hashlib.sha256(raw).hexdigest() for raw in raws], pa.string())]
+            else:
+                ids = np.frombuffer(b"".join(raws), "<u4").astype(np.int32)
+                columns = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids))]
+            if decode:
+                texts = (codec.decode_bytes(np.frombuffer(raw, "<u4").tolist()) for raw in raws)
+                columns.append(pa.array([hashlib.sha256(t).hexdigest() if digest else t.decode() for t in texts], pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), *columns], names=names)
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(encode, schema)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import BASE2, Prefix, raw_texts
-from .common import drop, stash
+from .common import drop, slices, stash
 from .imi import by_key
 
 GRAM, BUFFER, PLACE = 16, 1 << 18, np.uint64((1 << 20) - 1)
@@ -237,7 +237,7 @@ def remove_repeats(
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (piece for whole in batches for piece in slices(whole, 1)):
             size, removed, runs, kept = [], [], [], []
             for text, own in zip(b.column("text"), b.column("spans"), strict=True):
                 raw = text.as_buffer().to_pybytes()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import Shared, slices, stash
 
 # Look-alikes of Latin letters in Cyrillic and Greek, and digits and signs written for letters.
 LOOKALIKES = {
@@ -201,31 +201,20 @@ def fit_curve(points: list, all_toxic: int, all_clean: int) -> tuple[float, floa
     return tuple(float(b) for b in beta)
 
 
-_MODELS: dict[str, ToxicityModel] = {}
-
-
-def _model(shared) -> ToxicityModel:
-    key = str(getattr(shared, "id", id(shared)))
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = ToxicityModel(*shared.value)
-    return _MODELS[key]
-
-
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """``docs`` with toxic_score (0 to 1) and toxic_pred (1 from ``threshold`` on).
 
     Whole texts are scored; null and empty texts score like a text without a
     match. Other columns pass through; columns of these names are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.exceptions, model.curve))  # bounded by max_words
+    shared = Shared(docs.sparkSession, (model.weights, model.exceptions, model.curve), lambda parts: ToxicityModel(*parts))  # bounded by max_words
     keep = [c for c in docs.columns if c not in ("toxic_score", "toxic_pred")]
     at = keep.index(text_col)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", toxic_score double, toxic_pred int"
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _model(shared)
-        for b in batches:
+        m = shared.get()
+        for b in (piece for whole in batches for piece in slices(whole, at)):
             scores = [m.score(x.as_py()) for x in b.column(at)]
             arrays = [b.column(i) for i in range(len(keep))]
             arrays += [pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())]

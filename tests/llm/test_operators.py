@@ -267,11 +267,20 @@ def test_near_duplicates_equal_brute_force(spark, empty):
     assert oddsketch.near_duplicates(none).count() == 0
 
 
+def test_words_that_polynomials_confuse_are_no_copies(spark):
+    """A Thue-Morse word and its complement collide in every polynomial modulo 2**64."""
+    word = lambda n, x, y: "".join((x, y)[bin(i).count("1") % 2] for i in range(n))
+    rows = [(1, word(1024, "a", "b")), (2, word(1024, "b", "a")), (3, word(2048, "a", "b") + " q"), (4, word(2048, "b", "a") + " q"), (5, word(1024, "A", "b"))]
+    got = {x.doc_id: x.component_id for x in oddsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
 def test_shingle_sets_hold_what_they_should():
     import pyarrow as pa
 
-    texts = [t for _, t, _, _ in DOCS]
-    assert [len(s) for s in oddsketch.shingle_sets(pa.array(texts, pa.string()), 4)] == [len(shingles(t)) for t in texts]
+    texts, known = [t for _, t, _, _ in DOCS], oddsketch.WordHashes()
+    own = [oddsketch.words_of(x) for x in pa.array(texts, pa.string())]
+    assert [len(oddsketch.shingle_hashes(w, 4, known)) for w in own] == [len(oddsketch.shingle_set(w, 4)) for w in own] == [len(shingles(t)) for t in texts]
     a, b = (np.unique(bytehash.mix(np.arange(k, k + 900, dtype=np.uint64))) for k in (1, 101))
     sketches = oddsketch.odd_sketch(np.stack([oddsketch.minhash(a), oddsketch.minhash(b)]))
     assert abs(oddsketch.estimate(int(np.bitwise_count(sketches[0] ^ sketches[1]).sum())) - 0.8) < 0.15
