@@ -6,13 +6,10 @@ which the hash of any substring takes three operations; ``mix`` spreads it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-BASE2 = np.uint64(0xC2B2AE3D27D4EB4F | 1)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -56,12 +53,3 @@ def raw_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     buffer = column.buffers()[2]
     data = np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
-def groups(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``most`` bytes together; a longer row is alone."""
-    i, n = 0, len(offsets) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)

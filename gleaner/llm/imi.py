@@ -15,6 +15,7 @@ Copies are collapsed before all of this.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,7 +118,9 @@ def by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple
 
 
 def calibrate(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], k: int, recall: float) -> float:
-    """Part of all vectors that the traversal must reach for this recall, measured within the sample."""
+    """Part of all vectors that the traversal must reach for this recall, measured within the sample; all of them for 1."""
+    if recall >= 1:
+        return 1.0
     half = books[0].shape[1]
     q = x[:: max(1, len(x) // 256)][:256]
     score = q @ x.T
@@ -129,33 +132,43 @@ def calibrate(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], k: int, recal
     return float(np.quantile(rank, recall))
 
 
+def n_centroids(vectors: int, sample: int, per_cell: int) -> int:
+    """Centroids of each half, so that the product grid has about ``per_cell`` vectors a cell; at most one for 8 of the sample."""
+    return max(1, min(math.isqrt(vectors // per_cell), sample // 8))
+
+
 def search(
-    df: DataFrame, query_ids, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", centroids: int = 64, recall: float = 0.97,
-    least: int = 4096, block_rows: int = 8192, query_rows: int = 4096,
+    df: DataFrame, query_ids, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", per_cell: int = 6, recall: float = 0.95, block_rows: int = 8192,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k vectors of largest inner product found for each query.
 
-    ``query_ids`` is a condition on the column id. A query's own row is no
-    candidate, its copies are. Ties go to smaller ids. The traversal goes on
-    until it has reached ``least`` distinct vectors and the part of all that
-    gave ``recall`` on the codebooks' sample. Null, zero and non-finite vectors
-    take no part, nor do those of another length than most; with too few
-    candidates there are fewer rows. Repeated rows are candidates each.
+    ``query_ids`` is a condition on the column id. A query's own id is no
+    candidate, copies of its vector under other ids are. Ties go to smaller
+    ids. The traversal goes on until it has reached the part of all distinct
+    vectors that gave ``recall`` on the codebooks' sample, whatever the table's
+    size. Null, zero and non-finite vectors and null ids take no part, nor do
+    vectors of another length than most; with too few candidates there are
+    fewer rows. Rows that repeat id and vector count once; an id with several
+    vectors is found by each. An empty table gives an empty result.
     """
     spark = df.sparkSession
-    rows = dense(df, id_col, vec_col)
+    rows = dense(df, id_col, vec_col).distinct()
+    # a query's own id takes as many places as it has vectors: one, where ids are
+    most = rows.where(query_ids).groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    k_out, k = k, k + most - 1
     # copies: the k + 1 smallest ids of each vector are all that can be among k nearest
     first = Window.partitionBy("v").orderBy("id")
     reps = rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
-    reps = reps.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("rep", F.col("ids")[0])
-    sample = sample_matrix(rows.select("v").distinct())
+    reps = reps.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("rep", F.xxhash64("v"))
+    reps = stash(reps, "imi-reps")
+    sample = sample_matrix(reps)
     out_schema = "query_id long, rank int, vec_id long, score double"
     if sample is None:
         return spark.createDataFrame([], out_schema)
     width = sample.shape[1]
     half = max(1, width // 2)
-    n_centroids = max(1, min(centroids, len(sample) // 8))
-    books = kmeans(sample[:, :half], n_centroids, 1), kmeans(sample[:, half:], n_centroids, 2) if width > half else np.zeros((1, 0))
+    n = n_centroids(reps.count(), len(sample), per_cell)
+    books = kmeans(sample[:, :half], n, 1), kmeans(sample[:, half:], n, 2) if width > half else np.zeros((1, 0))
     part = calibrate(sample, books, k + 1, recall)
     n2 = len(books[1])
 
@@ -172,7 +185,7 @@ def search(
     index = stash(reps.select("rep", "v", "ids").mapInArrow(cells, "rep long, v binary, ids array<long>, cell int"), "imi")
     sizes = {r["cell"]: r["n"] for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most centroids squared
     total = sum(sizes.values())
-    goal = max(least, int(np.ceil(part * total)))
+    goal = int(np.ceil(part * total))
     # blocks of neighbouring cells; a cell beyond a block's size takes several of its own
     first_block, parts, block, fill = {}, {}, -1, block_rows
     for c in sorted(sizes):
@@ -183,9 +196,8 @@ def search(
             if fill + sizes[c] > block_rows:
                 block, fill = block + 1, 0
             first_block[c], parts[c], fill = block, 1, fill + sizes[c]
-    queries = rows.where(query_ids).select("v").distinct().join(index.select("v", "rep"), "v")
-    n_queries = queries.count()
-    chunks = max(1, -(-n_queries // query_rows))
+    of_rep = stash(rows.where(query_ids).join(index.select(F.col("v").alias("_v"), "rep"), F.col("v") == F.col("_v")).select("id", "rep", "v"), "imi-queries")
+    queries = of_rep.select("rep", "v").distinct()
     layout = spark.sparkContext.broadcast((books, sizes, first_block, parts))  # at most centroids squared entries
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,16 +234,16 @@ def search(
                 )
 
     shape = "block long, kind int, rep long, v binary, ids array<long>, cells binary"
-    held = index.mapInArrow(place, shape).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    asked = queries.select("rep", "v").repartition(max(8, spark.sparkContext.defaultParallelism)).mapInArrow(visit, shape)
-    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.lit(chunks)).cast("int"))
-    dealt = held.unionByName(asked).repartition("block", "chunk").sortWithinPartitions("block", "chunk", "kind")
+    held = index.mapInArrow(place, shape)
+    asked = queries.repartition("rep").mapInArrow(visit, shape)
+    # the index moves once; a query goes to the blocks that it visits, and streams past what they hold
+    dealt = held.unionByName(asked).repartition("block").sortWithinPartitions("block", "kind")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, buffer, ready = None, [], None
-        for (block, chunk, kind), b in by_key(batches, ["block", "chunk", "kind"]):
-            if (block, chunk) != now:
-                now, buffer, ready = (block, chunk), [], None
+        for (block, kind), b in by_key(batches, ["block", "kind"]):
+            if block != now:
+                now, buffer, ready = block, [], None
             if kind == 0:
                 buffer.append(b)
                 continue
@@ -274,10 +286,10 @@ def search(
     found = dealt.mapInArrow(score, "rep long, score double, vec_id long")
     best = Window.partitionBy("rep").orderBy(F.col("score").desc(), "vec_id")
     found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
-    of_rep = rows.where(query_ids).join(index.select("v", "rep"), "v").select(F.col("id").alias("query_id"), "rep")
-    pairs = of_rep.join(found, "rep").where(F.col("query_id") != F.col("vec_id"))
+    pairs = of_rep.select(F.col("id").alias("query_id"), "rep").join(found, "rep").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    pairs = pairs.where(F.col("query_id") != F.col("vec_id"))
     final = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return pairs.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k_out).select("query_id", "rank", "vec_id", "score")
 
 
 def _find(parent: np.ndarray) -> np.ndarray:
@@ -289,7 +301,8 @@ def _find(parent: np.ndarray) -> np.ndarray:
 
 
 def link(
-    df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", group_col: str = "label", centroids: int = 32, block_rows: int = 8192,
+    df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", group_col: str = "label", per_cell: int = 32, block_rows: int = 8192,
+    max_lengths: int = 16,
 ) -> DataFrame:
     """One row per row of ``df``: vec_id, n_links, component_id, kept.
 
@@ -299,20 +312,43 @@ def link(
     bounds of the distance in both halves add up to more, so its target recall
     is all. n_links counts other rows, copies included, of which links are
     counted, never listed. Rows that take no part, null ids among them, have
-    no links and are kept alone.
+    no links and are kept alone. Vectors link with those of their own length
+    only; each length has an index of its own. An empty table gives an empty
+    result.
     """
-    spark = df.sparkSession
     cols = [F.col(id_col).alias("id"), F.col(group_col).alias("g")]
     valid = dense(df.select(*cols, F.col(vec_col).alias("x")).where(F.col("g").isNotNull()), "id", "x", ["g"])
     # the bytes of equal vectors are equal: copies are one entry with a count
     reps = stash(valid.groupBy("g", "v").agg(F.min("id").alias("rep"), F.count("*").alias("m")).withColumn("key", F.xxhash64("g", "v")), "link-reps")
-    sample = sample_matrix(reps)
-    if sample is None:
+    lengths = {r["w"]: r["n"] for r in reps.groupBy(F.octet_length("v").alias("w")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "w").limit(max_lengths + 1).collect()}
+    if not lengths:
         return df.select(F.col(id_col).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col(id_col).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    sample = unit(sample)
+    if len(lengths) > max_lengths:
+        raise ValueError(f"vectors of more than {max_lengths} lengths")
+    found = None
+    for w, n in lengths.items():
+        own = _links_of_length(reps.where(F.octet_length("v") == w), n, threshold, per_cell, block_rows)
+        found = own if found is None else found.unionByName(own)
+    links = found.groupBy("rep").agg(F.sum("n").alias("n"))
+    roots = connected_components(found, "rep", "other")
+    info = reps.select("g", "v", "rep", "m").join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
+    info = info.select("g", "v", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    linked = valid.join(info, ["g", "v"]).select(F.col("id").alias("vec_id"), "n_links", "component_id")
+    # rows that take no part
+    rest = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(group_col).alias("g"), F.col(vec_col).cast("array<double>").alias("e"))
+    finite = F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("e", lambda c: c != 0)
+    rest = rest.where(~F.coalesce(F.col("vec_id").isNotNull() & F.col("g").isNotNull() & (F.size("e") > 0) & finite, F.lit(False)))
+    rest = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = linked.unionByName(rest)
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+def _links_of_length(reps: DataFrame, n_reps: int, threshold: float, per_cell: int, block_rows: int) -> DataFrame:
+    """rep, n, other: links among distinct vectors (g, v, rep, m) of one length; n counts rows, other is one of those linked."""
+    sample = unit(sample_matrix(reps))
     width = sample.shape[1]
     half = max(1, width // 2)
-    k = max(1, min(centroids, len(sample) // 8))
+    k = n_centroids(n_reps, len(sample), per_cell)
     books = kmeans(sample[:, :half], k, 1), kmeans(sample[:, half:], k, 2) if width > half else np.zeros((1, 0))
     n2 = len(books[1])
     radius2 = max(0.0, 2 - 2 * threshold) + 1e-9
@@ -355,43 +391,47 @@ def link(
     along = Window.partitionBy("g").orderBy("cell")
     per = per.withColumn("block", F.floor((F.sum("n").over(along) - F.col("n")) / block_rows).cast("int")).withColumn("parts", F.ceil(F.col("n") / block_rows).cast("int"))
     per = stash(per, "link-cells")
-    per_group = per.groupBy("g").agg(F.max("block").alias("blocks"), F.max("parts").alias("parts"), F.sum("n").alias("total"))
+    per_group = per.groupBy("g").agg(F.max("block").alias("blocks"), F.max("parts").alias("most"), F.sum("n").alias("total"))
     entries = index.join(per.select("g", "cell", "block", "parts"), ["g", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    # the queries of a block come in chunks, each with the block's entries
-    sliced = per_group.withColumn("chunks", F.ceil(F.col("total") / block_rows).cast("int")).select("g", "blocks", F.col("parts").alias("most"), "chunks")
-    entries = entries.join(sliced.select("g", "chunks"), "g").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    asked = index.join(sliced, "g").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("chunks")).cast("int"))
+    asked = index.join(per_group, "g")
     # a group of one block needs no map of its cells
     simple = asked.where((F.col("blocks") == 0) & (F.col("most") == 1)).withColumn("block", F.lit(0)).withColumn("part", F.lit(0))
-    spread = asked.where((F.col("blocks") > 0) | (F.col("most") > 1))
-    map_of = per.groupBy("g").agg(F.collect_list(F.struct("cell", "block", "parts")).alias("map"))  # at most centroids squared
-    spread = spread.join(map_of, "g").select("g", "rep", "m", "v", "cell", "visits", "chunk", "map")
+    spread = asked.where((F.col("blocks") > 0) | (F.col("most") > 1)).withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(5)), F.ceil(F.col("total") / block_rows)))
+    # others stream past their group's map, of which there is one for block_rows rows
+    map_of = per.groupBy("g").agg(F.collect_list(F.struct("cell", "block", "parts")).alias("map"))  # at most the grid's cells
+    map_of = map_of.join(per_group.where((F.col("blocks") > 0) | (F.col("most") > 1)), "g").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("total") / block_rows) - 1)))
+    none = {"rep": "long", "m": "long", "v": "binary", "cell": "int", "visits": "binary"}
+    map_of = map_of.select("g", "salt", F.lit(0).alias("kind"), "map", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    spread = spread.select("g", "salt", F.lit(1).alias("kind"), F.lit(None).cast("array<struct<cell:int,block:int,parts:int>>").alias("map"), *none)
+    spread = map_of.unionByName(spread).repartition("g", "salt").sortWithinPartitions("g", "salt", "kind")
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = {n: b.column(n).to_pylist() for n in b.schema.names}
-            out: dict[str, list] = {n: [] for n in ("g", "rep", "m", "v", "cell", "visits", "chunk", "block", "part")}
-            for i in range(b.num_rows):
-                where = {x["cell"]: (x["block"], x["parts"]) for x in rows["map"][i]}
+        names = ["g", "rep", "m", "v", "cell"]
+        where: dict[int, tuple[int, int]] = {}
+        for (_, _, kind), b in by_key(batches, ["g", "salt", "kind"]):
+            if kind == 0:
+                where = {x["cell"]: (x["block"], x["parts"]) for x in b.column("map")[b.num_rows - 1].as_py()}
+                continue
+            rows, blocks, parts, visits = [], [], [], []
+            for i, seen in enumerate(b.column("visits").to_pylist()):
                 to: dict[tuple[int, int], list[int]] = {}
-                for c in np.frombuffer(rows["visits"][i], "<i4").tolist():
+                for c in np.frombuffer(seen, "<i4").tolist():
                     if c in where:
                         for p in range(where[c][1]):
                             to.setdefault((where[c][0], p), []).append(c)
                 for (block, part), cs in to.items():
-                    for n in ("g", "rep", "m", "v", "cell", "chunk"):
-                        out[n].append(rows[n][i])
-                    out["visits"].append(np.array(cs, "<i4").tobytes())
-                    out["block"].append(block)
-                    out["part"].append(part)
-            types = {"g": b.schema.field("g").type, "rep": pa.int64(), "m": pa.int64(), "v": pa.binary(), "cell": pa.int32(), "visits": pa.binary(), "chunk": pa.int32(), "block": pa.int32(), "part": pa.int32()}
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], types[n]) for n in out], names=list(out))
-
-    shape = f"g {group_type}, rep long, m long, v binary, cell int, visits binary, chunk int, block int, part int"
-    names = ["g", "rep", "m", "v", "cell", "visits", "chunk", "block", "part"]
+                    rows.append(i)
+                    blocks.append(block)
+                    parts.append(part)
+                    visits.append(np.array(cs, "<i4").tobytes())
+            taken = b.select(names).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(visits, pa.binary()), pa.array(blocks, pa.int32()), pa.array(parts, pa.int32())], names=[*names, "visits", "block", "part"])
+
+    shape = f"g {group_type}, rep long, m long, v binary, cell int, visits binary, block int, part int"
+    names = ["g", "rep", "m", "v", "cell", "visits", "block", "part"]
     asked = simple.select(*names).unionByName(spread.mapInArrow(route, shape)).withColumn("kind", F.lit(1))
     held = entries.select(*names).withColumn("kind", F.lit(0))
-    dealt = held.unionByName(asked).withColumn("home", F.xxhash64("g", "block", "part", "chunk"))
+    dealt = held.unionByName(asked).withColumn("home", F.xxhash64("g", "block", "part"))
     dealt = dealt.repartition("home").sortWithinPartitions("home", "kind").select("home", "kind", "rep", "m", "v", "cell", "visits")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,16 +507,4 @@ def link(
                 yield pa.RecordBatch.from_arrays([pa.array(here[some]), pa.array(links[some]), pa.array(ids[parent[low[some]]])], names=["rep", "n", "other"])
         yield from hooks()
 
-    found = stash(dealt.mapInArrow(compare, "rep long, n long, other long"), "links")
-    links = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    roots = connected_components(found, "rep", "other")
-    info = reps.select("g", "v", "rep", "m").join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
-    info = info.select("g", "v", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    linked = valid.join(info, ["g", "v"]).select(F.col("id").alias("vec_id"), "n_links", "component_id")
-    # rows that take no part
-    rest = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(group_col).alias("g"), F.col(vec_col).cast("array<double>").alias("e"))
-    finite = F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("e", lambda c: c != 0)
-    rest = rest.where(~F.coalesce(F.col("vec_id").isNotNull() & F.col("g").isNotNull() & (F.size("e") > 0) & finite, F.lit(False)))
-    rest = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    out = linked.unionByName(rest)
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return stash(dealt.mapInArrow(compare, "rep long, n long, other long"), "links")

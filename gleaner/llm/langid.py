@@ -41,7 +41,9 @@ def train_dictionaries(rows: DataFrame, lang_col: str, text_col: str, id_col: st
     d = usable.select(F.col(lang_col).alias("lang"), key.alias("k"), F.col(id_col).alias("id"))
     # copies share their hash: one of them stays
     d = d.groupBy("lang", "k").agg(F.min("id").alias("id"))
-    d = d.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("k", "id"))).where(F.col("r") <= docs_per_lang)
+    # first within parts of a language, so that one with most rows is no task of its own
+    for part in (["lang", F.pmod("k", F.lit(64))], ["lang"]):
+        d = d.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy("k", "id"))).where(F.col("r") <= docs_per_lang)
     picked = d.limit(docs_per_lang * max_langs + 1).collect()
     if len(picked) > docs_per_lang * max_langs:
         raise ValueError(f"more than {max_langs} languages")

@@ -9,10 +9,11 @@ divided by inclusion odds, ``(u / (1 - u)) / (p / (1 - p))`` with ``u`` a hash
 of seed and id, and the sample is the head of that ranking whose words come
 nearest to what the certain copies leave open.
 
-The head is found without sorting a source in one task: the ranking value is
-cut into bins, the bins' word sums (a partial aggregation, so a source with a
-third of all rows costs no more than any other) locate the one bin in which the
-target lies, and only that bin's rows are put in order.
+The head is found without sorting a source in one task. The ranking is read
+digit by digit: the word sums of a digit's 4,096 bins (a partial aggregation,
+so a source with a third of all rows costs no more than any other) locate the
+one bin in which the target lies, and the next digit parts that bin, until it
+holds few enough rows to put in order.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
+DIGIT = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -65,6 +67,11 @@ def source_targets(sizes: DataFrame, weights: list[int], share: float, cap: floa
     return ranked.select("source", "source_size", target.alias("target"))
 
 
+def _digits(v: Column) -> list[Column]:
+    """A long of 48 bits as four digits, the highest first."""
+    return [F.shiftright(v, k).bitwiseAND(F.lit(DIGIT - 1)).cast("int") for k in (36, 24, 12, 0)]
+
+
 def mix(
     docs: DataFrame,
     size: Column,
@@ -74,19 +81,30 @@ def mix(
     seed: str = "mix",
     id_col: str = "doc_id",
     source_col: str = "source",
-    bins: int = 4096,
+    text_col: str | None = None,
+    sort_rows: int = 100_000,
 ) -> DataFrame:
     """``docs`` with mix_size, mix_source_size, mix_target and mix_copies.
 
     mix_copies is how often the mix takes the document: at most ``cap``
     rounded up, and never more than ``cap`` times its size in words where
-    ``cap`` is whole. Null sources form one source of their own, last. A null
-    id takes the hash of an empty id. Documents without words get the certain
-    copies and never the sampled one. Rows that agree in id and size are
-    interchangeable. Names of ``docs`` that start with mix_ are overwritten.
+    ``cap`` is whole. Null sources form one source of their own, last. The draw
+    is a hash of the id; a null id draws by its text, if ``text_col`` names it,
+    else all null ids draw alike. Rows that draw alike are put in order by id,
+    size and place, and the sample ends behind a row, not behind a draw, so
+    that repeated ids and null ids come no less near to the target. Documents
+    without words get the certain copies and never the sampled one. Rows that
+    agree in id, size and text are interchangeable. An empty table gives an
+    empty result. Names of ``docs`` that start with mix_ are overwritten.
+    The rows are fixed in the shared folder first.
     """
-    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
-    d = docs.withColumn("mix_size", size).withColumn("mix_u", u)
+    own_draw = F.md5(F.coalesce(F.col(text_col), F.lit(""))) if text_col else F.lit("")
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), own_draw))
+    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
+    own = {"mix_size", "mix_source_size", "mix_target", "mix_copies"}
+    keep = [c for c in docs.columns if c != text_col and not c.startswith("mix_")]
+    d = docs.withColumn("mix_size", size).withColumn("mix_u", u).select(*keep, "mix_size", "mix_u")
+    d = stash(d.withColumn("mix_place", F.monotonically_increasing_id()), "mix-rows")
     sizes = stash(d.groupBy(F.col(source_col).alias("source")).agg(F.sum("mix_size").alias("source_size")), "mix-sources")
     # a few columns a source: up to this many are a megabyte or two, beyond it joins shuffle
     small = F.broadcast if sizes.count() <= 20_000 else (lambda x: x)
@@ -98,38 +116,42 @@ def mix(
     targets = targets.withColumn("mix_open", F.col("mix_target") - F.col("mix_sure") * F.col("mix_source_size"))
     targets = small(stash(targets, "mix-targets"))
     d = d.join(targets, F.col(source_col).eqNullSafe(F.col("mix_source")), "left")
-    # random odds / inclusion odds, and its monotone image in (0, 1) for binning
+    # random odds / inclusion odds
     q = F.try_divide(F.col("mix_u") / (1 - F.col("mix_u")), F.col("mix_p") / (1 - F.col("mix_p")))
     d = d.withColumn("mix_q", F.when((F.col("mix_p") > 0) & (F.col("mix_size") > 0), q))
-    d = d.withColumn("mix_bin", F.floor(F.col("mix_q") / (1 + F.col("mix_q")) * bins).cast("int"))
-    ranked = d.where(F.col("mix_q").isNotNull())
-    narrow = ranked.select("mix_source", "mix_bin", "mix_q", "mix_size", "mix_open", id_col)
-    by_bin = narrow.groupBy("mix_source", "mix_bin").agg(F.sum("mix_size").alias("words"), F.first("mix_open").alias("mix_open"))
-    along = Window.partitionBy("mix_source").orderBy("mix_bin")
-    by_bin = by_bin.withColumn("upto", F.sum("words").over(along)).withColumn("before", F.col("upto") - F.col("words"))
-    # the one bin of each source in which the open words end
-    cut = by_bin.where((F.col("before") < F.col("mix_open")) & (F.col("upto") >= F.col("mix_open"))).select(
-        F.col("mix_source").alias("cut_source"), F.col("mix_bin").alias("cut_bin"), "before"
-    )
-    cut = stash(cut, "mix-cuts")
-    inside = narrow.join(
-        small(cut), F.col("mix_source").eqNullSafe(F.col("cut_source")) & (F.col("mix_bin") == F.col("cut_bin")), "inner"
-    )
-    order = Window.partitionBy("mix_source", "mix_bin").orderBy("mix_q", F.col(id_col).asc_nulls_last(), "mix_size")
-    inside = inside.withColumn("run", F.col("before") + F.sum("mix_size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # the ranking, as one value that no two rows share
+    rank = F.struct(F.col("mix_q").alias("q"), F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("mix_size").alias("size"), F.col("mix_place").alias("place"))
+    d = d.withColumn("mix_rank", rank)
+    ranked = d.where(F.col("mix_q").isNotNull()).select("mix_source", "mix_open", "mix_size", "mix_place", "mix_rank", id_col)
+    # its digits: those of its image in (0, 1), of the size, of the place
+    image = (F.col("mix_rank.q") / (1 + F.col("mix_rank.q")) * F.lit(float(2**48))).cast("long")
+    digits = _digits(image) + _digits(F.least(F.col("mix_size"), F.lit(2**48 - 1))) + _digits(F.shiftright("mix_place", 24)) + _digits(F.col("mix_place").bitwiseAND(F.lit(2**24 - 1)))
+    inside, cut = ranked.withColumn("mix_before", F.lit(0).cast("long")), None
+    for digit in digits:
+        bins = inside.withColumn("mix_bin", digit).groupBy("mix_source", "mix_bin").agg(
+            F.sum("mix_size").alias("words"), F.count("*").alias("n"), F.first("mix_open").alias("mix_open"), F.first("mix_before").alias("mix_before")
+        )
+        along = Window.partitionBy("mix_source").orderBy("mix_bin")  # at most DIGIT rows a source
+        bins = bins.withColumn("upto", F.col("mix_before") + F.sum("words").over(along)).withColumn("from", F.col("upto") - F.col("words"))
+        # the one bin of each source in which the open words end
+        cut = bins.where((F.col("from") < F.col("mix_open")) & (F.col("upto") >= F.col("mix_open")))
+        cut = stash(cut.select(F.col("mix_source").alias("cut_source"), F.col("mix_bin").alias("cut_bin"), F.col("from").alias("cut_before"), "n"), "mix-cuts")
+        inside = inside.join(small(cut), F.col("mix_source").eqNullSafe(F.col("cut_source")) & (digit == F.col("cut_bin")))
+        inside = inside.withColumn("mix_before", F.col("cut_before")).select(*ranked.columns, "mix_before")
+        if (cut.agg(F.max("n")).first()[0] or 0) <= sort_rows:
+            break
+    order = Window.partitionBy("mix_source").orderBy("mix_rank")
+    run = F.col("mix_before") + F.sum("mix_size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     # a document is in while at least half of it lies below the open words
-    inside = inside.withColumn("in", F.col("run") - F.col("mix_size") / 2.0 <= F.col("mix_open"))
-    last = inside.where("in").groupBy(F.col("mix_source").alias("last_source")).agg(
-        F.max("mix_q").alias("cut_q")
-    )
-    cut = cut.join(last, F.col("cut_source").eqNullSafe(F.col("last_source")), "left").select("cut_source", "cut_bin", "cut_q")
-    d = d.join(small(cut), F.col(source_col).eqNullSafe(F.col("cut_source")), "left")
-    sampled = (
-        F.col("mix_q").isNotNull()
-        & (F.col("mix_open") > 0)
-        & (F.col("cut_bin").isNull() | (F.col("mix_bin") < F.col("cut_bin")) | ((F.col("mix_bin") == F.col("cut_bin")) & (F.col("mix_q") <= F.col("cut_q"))))
+    inside = inside.withColumn("run", run).withColumn("in", F.col("run") - F.col("mix_size") / 2.0 <= F.col("mix_open"))
+    # the last row that is in; where the first of the bin is out, the sample ends before it
+    ends = inside.groupBy(F.col("mix_source").alias("end_source")).agg(
+        F.max(F.when(F.col("in"), F.col("mix_rank"))).alias("end_rank"), F.min("mix_rank").alias("open_rank")
     )
+    ends = stash(ends, "mix-ends")
+    d = d.join(small(ends), F.col(source_col).eqNullSafe(F.col("end_source")), "left")
+    within = F.when(F.col("open_rank").isNull(), F.lit(True)).when(F.col("end_rank").isNull(), F.col("mix_rank") < F.col("open_rank")).otherwise(F.col("mix_rank") <= F.col("end_rank"))
+    sampled = F.col("mix_q").isNotNull() & (F.col("mix_open") > 0) & within
     d = d.withColumn("mix_copies", F.coalesce(F.col("mix_sure"), F.lit(0)) + F.coalesce(sampled, F.lit(False)).cast("int"))
-    return d.select(
-        *[F.col(c) for c in docs.columns], "mix_size", "mix_source_size", "mix_target", F.col("mix_copies").cast("long").alias("mix_copies")
-    )
+    keep += [c for c in docs.columns if c.startswith("mix_") and c in d.columns and c not in own]
+    return d.select(*keep, "mix_size", "mix_source_size", "mix_target", F.col("mix_copies").cast("long").alias("mix_copies"))

@@ -10,13 +10,18 @@ rules, that is, the bytes from the first of them to the end of the last.
 The parse is the sequence of these phrases, the dictionary the distinct ones.
 Where a phrase is in the dictionary twice, all its windows repeat, and only its
 count is needed. What is left are the edges of repeats: phrases that differ but
-share the bytes behind their trigger. Their windows are put in suffix order
-group by group, by (offset to the trigger, fingerprint); neighbours in that
-order are equal strings. Phrases that share nothing behind their trigger with
-another hold no repeated window, and are never looked at again.
-
-Suffix order is by 64-bit fingerprints of the bytes, not by the bytes: equality
-is all that is asked of it. Dictionary entries are told apart by two of them.
+share the bytes behind their trigger. Two suffix arrays order them, trigger by
+trigger: the parse's, of what follows each trigger, and the dictionary's, of
+what phrases hold before it. Their neighbours' common prefixes give, for every
+offset, the classes of equal bytes on either side; a window's two classes
+together are its place in the corpus order, and windows of one place are equal.
+Phrases that share nothing behind their trigger with another hold no repeated
+window, and are never looked at again, so the order is made where repeats can
+be, not for the whole corpus.
+
+All of this compares bytes. Dictionary entries, and windows of a trigger that
+too many phrases share for one task, go by 128-bit BLAKE2b digests of theirs;
+rolling hashes only choose triggers and bring candidates together.
 """
 
 from __future__ import annotations
@@ -29,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytehash import BASE2, Prefix, raw_texts
+from .bytehash import Prefix, raw_texts
 from .common import drop, slices, stash
 from .imi import by_key
 
 GRAM, BUFFER, PLACE = 16, 1 << 18, np.uint64((1 << 20) - 1)
-PHRASES = "id long, th long, t int, dmin int, dmax int, b long, c long"
+PHRASES = "id long, th long, t int, dmin int, dmax int, b long, c binary"
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -46,7 +51,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def phrases(data: np.ndarray, ends: list[tuple[int, int]], length: int, reach: int) -> tuple[np.ndarray, ...]:
-    """Trigger, first and last window start, and the two fingerprints, of each phrase of texts ``ends`` in a buffer."""
+    """Trigger, first and last window start, and hash of the bytes behind the trigger, of each phrase of texts ``ends`` in a buffer."""
     prefix = Prefix(data)
     at = np.arange(len(data) - GRAM + 1)
     key = (prefix.of(at, at + GRAM) & ~PLACE) | (PLACE - at.astype(np.uint64))
@@ -56,14 +61,18 @@ def phrases(data: np.ndarray, ends: list[tuple[int, int]], length: int, reach: i
     t = trigger[p]
     new = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (p[1:] != p[:-1] + 1)]))
     lo, hi, t = p[new], p[np.concatenate([new[1:] - 1, [len(p) - 1]])], t[new]
-    return t, lo, hi, prefix.of(t, t + length - reach + 1), Prefix(data, BASE2).of(lo, hi + length)
+    return t, lo, hi, prefix.of(t, t + length - reach + 1)
+
+
+def digest_of(data) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
 def parse(docs: DataFrame, length: int, reach: int) -> DataFrame:
-    """The phrases of all texts: place, offsets dmin..dmax from window starts to the trigger, fingerprints b and c."""
+    """The phrases of all texts: place, offsets dmin..dmax from window starts to the trigger, hash b of what all its windows hold behind it, digest c."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole, 2)):
             data, offsets = raw_texts(batch.column(2))
             pieces: list[tuple[int, int, int]] = []  # row, start, end; pieces of a long text overlap by length - 1
             for row, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
@@ -83,63 +92,81 @@ def parse(docs: DataFrame, length: int, reach: int) -> DataFrame:
                 buffer = np.concatenate([data[s:e] for _, s, e in group])
                 sizes = np.array([e - s for _, s, e in group])
                 starts = np.cumsum(sizes) - sizes
-                t, lo, hi, b, c = phrases(buffer, list(zip(starts.tolist(), (starts + sizes).tolist(), strict=True)), length, reach)
+                t, lo, hi, b = phrases(buffer, list(zip(starts.tolist(), (starts + sizes).tolist(), strict=True)), length, reach)
                 which = np.searchsorted(starts, lo, side="right") - 1
                 rows = np.array([g[0] for g in group])[which]
                 origin = np.array([g[1] - int(offsets[g[0]]) for g in group])[which] - starts[which]
-                take = pa.array(rows)
+                take, raw = pa.array(rows), buffer.data
+                c = [digest_of(raw[x:y]) for x, y in zip(lo.tolist(), (hi + length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(take), batch.column(1).take(take), pa.array((t + origin).astype(np.int32)), pa.array((t - hi).astype(np.int32)),
-                     pa.array((t - lo).astype(np.int32)), pa.array(b.view(np.int64)), pa.array(c.view(np.int64))],
+                     pa.array((t - lo).astype(np.int32)), pa.array(b.view(np.int64)), pa.array(c, pa.binary())],
                     names=["id", "th", "t", "dmin", "dmax", "b", "c"],
                 )
 
     return docs.select("id", "th", "text").mapInArrow(cut, PHRASES)
 
 
-def _window_keys(contexts: list[bytes], dmin: np.ndarray, dmax: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every window of every context: its context, its offset, its fingerprint."""
-    data = np.frombuffer(b"".join(contexts), np.uint8)
-    sizes = np.array([len(x) for x in contexts])
-    n = dmax - dmin + 1
-    which = np.repeat(np.arange(len(contexts)), n)
-    step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    start = np.repeat(np.cumsum(sizes) - sizes, n) + step  # windows from the first, the one of offset dmax
-    return which, np.repeat(dmax, n) - step, Prefix(data).of(start, start + length)
+def suffix_array(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of byte strings, and the length of the prefix that each shares with the one before it in that order."""
+    order = np.array(sorted(range(len(texts)), key=texts.__getitem__))
+    size = np.array([len(x) for x in texts])
+    width = max(1, int(size.max(initial=1)))
+    at = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in texts), np.uint8).reshape(len(texts), width)[order]
+    differ = at[1:] != at[:-1]
+    shared = np.where(differ.any(1), differ.argmax(1), width)
+    return order, np.minimum(shared, np.minimum(size[order][1:], size[order][:-1]))
+
+
+def classes(texts: list[bytes], lengths: np.ndarray) -> np.ndarray:
+    """For each of ``lengths``, a row of numbers that are equal for strings that agree in that many bytes; shorter strings count for nothing."""
+    order, shared = suffix_array(texts)
+    out = np.zeros((len(lengths), len(texts)), np.int64)
+    out[:, order[1:]] = np.cumsum(shared[None, :] < lengths[:, None], axis=1)
+    return out
+
+
+def corpus_places(phrases: list[bytes], dmin: np.ndarray, dmax: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets, and for each offset and phrase the number of the window's bytes; -1 where the phrase has no such window.
+
+    Phrases share their trigger, which lies dmax bytes from their starts. The
+    parse's suffixes begin at it, the dictionary's end at it and are compared
+    from their ends.
+    """
+    offsets = np.arange(int(dmin.min()), int(dmax.max()) + 1)
+    after = classes([x[d:] for x, d in zip(phrases, dmax.tolist(), strict=True)], length - offsets)
+    before = classes([x[:d][::-1] for x, d in zip(phrases, dmax.tolist(), strict=True)], offsets)
+    has = (offsets[:, None] >= dmin) & (offsets[:, None] <= dmax)
+    return offsets, np.where(has, before * len(phrases) + after, -1)
 
 
 def _edges(edges: DataFrame, length: int, most: int) -> DataFrame:
     """id, th, s, e: the repeated windows of phrases that occur once, among phrases of the same group b."""
-    sizes = edges.groupBy("b").agg(F.count("*").alias("size"))
+    sizes = stash(edges.groupBy("b").agg(F.count("*").alias("size")), "edge-sizes")
     sized = edges.join(sizes, "b")
-    small = sized.where(F.col("size") <= most).drop("size").repartition("b").sortWithinPartitions("b")
-
-    def spans(ids: list, ths: list, t: np.ndarray, which: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
-        s = t[which] - d
-        return pa.RecordBatch.from_arrays(
-            [pa.array([ids[i] for i in which], pa.int64()), pa.array([ths[i] for i in which], pa.int64()), pa.array(s.astype(np.int32)), pa.array((s + length).astype(np.int32))], names=["id", "th", "s", "e"]
-        )
+    small = sized.where((F.col("size") > 1) & (F.col("size") <= most)).drop("size").repartition("b").sortWithinPartitions("b")
 
     def order(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = pa.Table.from_batches(rows)
-        if x.num_rows < 2:
-            return
-        num = {k: x.column(k).to_numpy().astype(np.int64) for k in ("t", "dmin", "dmax", "n")}
-        which, d, h = _window_keys(x.column("bytes").to_pylist(), num["dmin"], num["dmax"], length)
-        suffix = np.lexsort((h, d))
-        same = (h[suffix][1:] == h[suffix][:-1]) & (d[suffix][1:] == d[suffix][:-1])
-        twice = np.zeros(len(h), bool)
-        twice[suffix[1:]] |= same
-        twice[suffix[:-1]] |= same
-        twice &= num["n"][which] == 1
-        which, d = which[twice], d[twice]
+        t, dmin, dmax, n = (x.column(k).to_numpy().astype(np.int64) for k in ("t", "dmin", "dmax", "n"))
+        offsets, place = corpus_places(x.column("bytes").to_pylist(), dmin, dmax, length)
+        along = np.argsort(place, axis=1, kind="stable")
+        sorted_place = np.take_along_axis(place, along, 1)
+        same = (sorted_place[:, 1:] == sorted_place[:, :-1]) & (sorted_place[:, 1:] >= 0)
+        twice = np.zeros(place.shape, bool)
+        np.put_along_axis(twice, along, np.pad(same, ((0, 0), (1, 0))) | np.pad(same, ((0, 0), (0, 1))), 1)
+        # by phrase, its windows in the order of the text
+        twice = twice.T[:, ::-1] & (n == 1)[:, None]
+        edge = np.diff(np.pad(twice, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        which, first = np.nonzero(edge == 1)
+        _, last = np.nonzero(edge == -1)
         if len(which):
-            # runs of neighbouring windows are one span
-            new = np.concatenate([[True], (which[1:] != which[:-1]) | (d[1:] != d[:-1] - 1)])
-            first, last = np.flatnonzero(new), np.concatenate([np.flatnonzero(new)[1:] - 1, [len(d) - 1]])
-            out = spans(x.column("id").to_pylist(), x.column("th").to_pylist(), num["t"], which[first], d[first])
-            ends = num["t"][which[last]] - d[last] + length
-            yield out.set_column(3, "e", pa.array(ends.astype(np.int32)))
+            high = offsets[::-1]
+            s, e = t[which] - high[first], t[which] - high[last - 1] + length
+            take = pa.array(which)
+            yield pa.RecordBatch.from_arrays(
+                [x.column("id").combine_chunks().take(take), x.column("th").combine_chunks().take(take), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["id", "th", "s", "e"]
+            )
 
     def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows, out = None, [], []
@@ -160,38 +187,42 @@ def _edges(edges: DataFrame, length: int, most: int) -> DataFrame:
     large = sized.where(F.col("size") > most).drop("size")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            if not x.num_rows:
-                continue
-            num = {k: x.column(k).to_numpy().astype(np.int64) for k in ("t", "dmin", "dmax")}
-            which, d, h = _window_keys(x.column("bytes").to_pylist(), num["dmin"], num["dmax"], length)
-            out = spans(x.column("id").to_pylist(), x.column("th").to_pylist(), num["t"], which, d)
-            yield pa.RecordBatch.from_arrays(
-                [*out.columns, x.column("b").take(pa.array(which)), pa.array(d.astype(np.int32)), pa.array(h.view(np.int64)), x.column("n").take(pa.array(which))], names=["id", "th", "s", "e", "b", "d", "h", "n"]
-            )
-
-    windows = large.mapInArrow(explode, "id long, th long, s int, e int, b long, d int, h long, n long")
-    twice = windows.groupBy("b", "d", "h").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-    return found.unionByName(windows.where("n = 1").join(twice, ["b", "d", "h"]).select("id", "th", "s", "e"))
+        for x in (piece for whole in batches for piece in slices(whole, 7, 1 << 17)):
+            rows, d, h = [], [], []
+            for i, (raw, low, high) in enumerate(zip(*(x.column(k).to_pylist() for k in ("bytes", "dmin", "dmax")), strict=True)):
+                rows += [i] * (high - low + 1)
+                d += range(high, low - 1, -1)
+                h += [digest_of(raw[k : k + length]) for k in range(high - low + 1)]
+            take, off = pa.array(rows, pa.int64()), np.array(d, np.int32)
+            s = x.column("t").take(take).to_numpy() - off
+            columns = [x.column("id").take(take), x.column("th").take(take), pa.array(s.astype(np.int32)), pa.array((s + length).astype(np.int32)), pa.array(h, pa.binary()), x.column("n").take(take)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "s", "e", "h", "n"])
+
+    order_of = ["id", "th", "t", "dmin", "dmax", "b", "n", "bytes"]
+    windows = large.select(*order_of).mapInArrow(explode, "id long, th long, s int, e int, h binary, n long")
+    # a phrase that occurs more than once is in the dictionary once, so its windows count with it
+    twice = windows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    return found.unionByName(windows.where("n = 1").join(twice, "h").select("id", "th", "s", "e"))
 
 
 def repeated_spans(docs: DataFrame, length: int, reach: int, most: int) -> DataFrame:
     """id, th, spans (array of s, e): byte ranges that repeated windows cover, of rows id, th, text."""
     parsed = stash(parse(docs, length, reach), "phrases")
-    shared = parsed.groupBy("b").agg(F.count("*").alias("k")).where("k > 1").select("b")
+    # what joins on b is written first: then a hot b is split where it is joined
+    shared = stash(parsed.groupBy("b").agg(F.count("*").alias("k")).where("k > 1").select("b"), "shared")
     every, parsed = parsed, stash(parsed.join(shared, "b", "left_semi"), "shared-phrases")
-    drop(every)
+    drop(every, shared)
     # the dictionary: distinct phrases with their counts and one place of each
     entry = ["b", "dmin", "dmax", "c"]
     dictionary = stash(parsed.groupBy(*entry).agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "t")).alias("at")), "dictionary")
     whole = parsed.join(dictionary.where("n > 1").select(*entry), entry, "left_semi")
     whole = whole.select("id", "th", (F.col("t") - F.col("dmax")).alias("s"), (F.col("t") - F.col("dmin") + length).alias("e"))
-    mixed = dictionary.groupBy("b").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1").select("b")
+    mixed = stash(dictionary.groupBy("b").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1").select("b"), "mixed")
     needed = dictionary.join(mixed, "b", "left_semi").select("at.*", "b", "dmin", "dmax", "n")
     needed = needed.groupBy("id", "th").agg(F.collect_list(F.struct("t", "dmin", "dmax", "b", "n")).alias("phrases"))  # a text's own
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (piece for whole in batches for piece in slices(whole, 2)):
             out: dict[str, list] = {k: [] for k in ("id", "th", "t", "dmin", "dmax", "b", "n", "bytes")}
             for i, th, text, own in zip(*(b.column(k) for k in ("id", "th", "text", "phrases")), strict=True):
                 raw = text.as_buffer().to_pybytes()
@@ -210,7 +241,7 @@ def repeated_spans(docs: DataFrame, length: int, reach: int, most: int) -> DataF
     # equal rows (id and text) read their phrases twice; those phrases repeat and are no edges of their own
     spans = whole.unionByName(_edges(edges.dropDuplicates(["b", "dmin", "dmax", "id", "th", "t"]), length, most))
     out = stash(spans.groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")  # a text's own
-    drop(parsed, dictionary, edges)
+    drop(parsed, dictionary, mixed, edges)
     return out
 
 
@@ -224,17 +255,12 @@ def remove_repeats(
     and matches end with them. n_spans counts maximal removed runs. With
     ``digest`` the last column is kept_sha256, else kept (binary: a cut may
     part a character). Null texts count as empty. Repeated rows repeat each
-    other. Columns other than id and text are not read.
+    other. Columns other than id and text are not read. An empty table gives an
+    empty result.
     """
-    spark = docs.sparkSession
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("th", F.xxhash64("text"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # long texts: small batches
-    try:
-        spans = repeated_spans(d, length, reach, most)
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    spans = repeated_spans(d, length, reach, most)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (piece for whole in batches for piece in slices(whole, 1)):

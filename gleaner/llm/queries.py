@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, stash, table
+from .common import held_out, table
 from .imi import link, search
 from .langid import identify, train_dictionaries
 from .line_runs import dedup_lines
@@ -41,8 +41,8 @@ def op3_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    out = mix(stash(docs, "mix-sizes"), F.col("size"))  # texts are read once
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", word_count(F.col("text")).alias("size"))
+    out = mix(docs, F.col("size"), text_col="text")  # texts are read once, and left behind
     return out.select(
         "doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("size")).alias("taken")
     )

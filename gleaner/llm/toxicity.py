@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Shared, slices, stash
@@ -108,14 +108,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     The ids are picked from the labels alone, so no text is moved to find them.
     """
     d = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    d = d.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64(F.lit("tox"), "_id"), "_id"))).where(F.col("r") <= per_class).select("y", "_id")
+    order = [F.xxhash64(F.lit("tox"), "_id"), F.col("_id")]
+    d = d.where("y = 1").orderBy(*order).limit(per_class).unionByName(d.where("y = 0").orderBy(*order).limit(per_class))  # each task keeps its own first rows
     picked = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("text")).join(F.broadcast(d), F.col("_key") == F.col("_id"))  # at most 2 * per_class short rows
     return stash(picked.select("y", "text").dropDuplicates(["y", "text"]), "labelled")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000, max_words: int = 2000, min_odds: float = 20.0, min_docs: int = 5) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000, max_words: int = 2000, max_exceptions: int = 2000, min_odds: float = 20.0, min_docs: int = 5) -> ToxicityModel:
     """A model of the labelled documents; at most ``per_class`` of a label are learned from.
 
+    The lexicon holds the ``max_words`` words of highest weight, and at most
+    ``max_exceptions`` phrases, those that most clean rows hold: bounds of the
+    model, as ``per_class`` is of the sample.
+
     ``labels`` has the id and the label (1, 0 or null). A word enters the
     lexicon if at least ``min_docs`` toxic texts hold it, and at least one in 50
     of them, and if it is ``min_odds`` times as frequent there as in clean ones;
@@ -138,16 +143,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = sample.mapInArrow(words, "y int, w string, n long").groupBy("w").agg(
         F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c")
     )
-    least = F.greatest(F.lit(min_docs), F.lit(0))
-    top = counts.where((F.col("t") >= least) & (F.length("w") != 1)).orderBy(F.col("t").desc(), "w").limit(20_000).collect()
-    sums = {r["w"]: (r["t"], r["c"]) for r in top}
-    nt, nc = sums.pop("", (0, 0))
-    weights: dict[str, float] = {}
-    for w, (t, c) in sums.items():
-        odds = ((t + 0.5) / (nt + 1)) / ((c + 0.5) / (nc + 1))
-        if t >= max(min_docs, nt / 50) and odds >= min_odds:
-            weights[w] = min(3.0, math.log(odds) / math.log(min_odds))
-    weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:max_words])
+    counts = stash(counts, "toxic-words")
+    texts = counts.where(F.col("w") == "").first()
+    nt, nc = (texts["t"], texts["c"]) if texts else (0, 0)
+    odds = ((F.col("t") + 0.5) / (nt + 1)) / ((F.col("c") + 0.5) / (nc + 1))
+    weight = F.least(F.lit(3.0), F.log(odds) / math.log(min_odds))
+    found = counts.where((F.length("w") > 1) & (F.col("t") >= max(min_docs, nt / 50)) & (odds >= min_odds)).select("w", weight.alias("x"))
+    weights = {r["w"]: r["x"] for r in found.orderBy(F.col("x").desc(), "w").limit(max_words).collect()}
     if not weights:
         return ToxicityModel({}, set())
     # word pairs around lexicon words: those that clean texts use and toxic ones don't are exceptions
@@ -164,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     near = sample.mapInArrow(pairs, "y int, w string, n long").groupBy("w").agg(
         F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c")
     )
-    exceptions = {r["w"] for r in near.where((F.col("c") >= 3) & (F.col("c") > 3 * F.col("t"))).orderBy(F.col("c").desc(), "w").limit(max_words).collect()}
+    exceptions = {r["w"] for r in near.where((F.col("c") >= 3) & (F.col("c") > 3 * F.col("t"))).orderBy(F.col("c").desc(), "w").limit(max_exceptions).collect()}
     model = ToxicityModel(weights, exceptions)
     plain = (model.weights, model.exceptions)
 

@@ -1,6 +1,7 @@
 """The operators against brute force, on rows with nulls, empty and long texts, ties, copies and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -84,17 +85,33 @@ def usable(v):
     return v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v)
 
 
+def brute_search(rows, step, k):
+    good = {(i, tuple(v)) for i, v, *_ in rows if i is not None and usable(v)}
+    out = {}
+    for i in {i for i, _ in good if i % step == 0}:
+        score = {}
+        for own in (np.array(v) for j, v in good if j == i):
+            for j, w in good:
+                if j != i:
+                    score[j] = max(score.get(j, -np.inf), float(np.add.accumulate(own * np.array(w))[-1]))
+        out[i] = [(j, x) for x, j in sorted((-x, j) for j, x in score.items())[:k]]
+    return {i: [(j, -x) for j, x in v] for i, v in out.items()}
+
+
 def test_search_equals_brute_force(spark):
-    rows = vectors()
+    """With all of the index visited."""
+    rows = vectors() + [(20, vectors()[20][1], 2)] * 30 + [(40, [1.0] * 6, 0)]  # a repeated row; an id of two vectors
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("rank", F.lit(1))
-    got = {(r.query_id, r.rank, r.vec_id) for r in imi.search(df, F.col("id") % 20 == 0, k=7).collect()}
-    good = [(i, np.array(v)) for i, v, _ in rows if usable(v)]
-    want = set()
-    for i, v in good:
-        if i % 20 == 0:
-            best = sorted((-float(np.add.accumulate(v * w)[-1]), j) for j, w in good if j != i)[:7]
-            want |= {(i, k + 1, j) for k, (_, j) in enumerate(best)}
-    assert got == want
+    got = {}
+    for r in sorted(imi.search(df, F.col("id") % 20 == 0, k=7, recall=1.0, per_cell=10_000).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == brute_search(rows, 20, 7)
+
+
+def test_search_of_a_repeated_query(spark):
+    rows = [(20, [1.0, 2.0])] * 30 + [(1, [0.5, 0.5]), (2, [3.0, 0.0]), (3, [0.0, 3.0])]
+    got = imi.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0, recall=1.0).collect()
+    assert [(r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(1, 3, 6.0), (2, 2, 3.0), (3, 1, 1.5)]
 
 
 def test_search_recall_with_blocks_and_hot_cells(spark):
@@ -102,7 +119,7 @@ def test_search_recall_with_blocks_and_hot_cells(spark):
     x = r.normal(size=(3000, 16))
     x[:1000] = x[0] + 0.001 * r.normal(size=(1000, 16))  # one hot cell
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = imi.search(df, F.col("id") % 50 == 0, k=10, centroids=16, least=100, block_rows=200, query_rows=20).collect()
+    got = imi.search(df, F.col("id") % 50 == 0, k=10, block_rows=200).collect()
     s = x[::50] @ x.T
     s[np.arange(len(s)), np.arange(0, 3000, 50)] = -np.inf
     want = {(50 * i, int(j)) for i, row in enumerate(np.argsort(-s, axis=1)[:, :10]) for j in row}
@@ -115,16 +132,16 @@ def test_search_and_link_of_nothing(spark):
     assert imi.search(none, F.col("id") % 20 == 0).count() == 0
     assert imi.link(none).count() == 0
     few = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<double>")
-    assert [(r.query_id, r.vec_id, r.score) for r in imi.search(few, F.col("id") % 20 == 0).collect()] == [(20, 1, 0.5)]
+    assert [(r.query_id, r.vec_id, r.score) for r in imi.search(few, F.col("id") % 20 == 0, recall=1.0).collect()] == [(20, 1, 0.5)]
 
 
 @pytest.mark.parametrize("block", [8192, 16])
 def test_link_equals_brute_force(spark, block):
-    rows = vectors()
+    rows = vectors() + [(1000, [1.0, 2.0], 1), (1001, [2.0, 4.001], 1), (1002, [1.0, 2.0, 0.1], 1)]  # other lengths
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("g", F.lit(0))
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in imi.link(df, 0.98, centroids=8, block_rows=block).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in imi.link(df, 0.98, per_cell=2, block_rows=block).collect()}
     cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
-    pairs = [(a, b) for a, (i, v, g) in enumerate(rows) for b, (j, w, h) in enumerate(rows) if a < b and g is not None and g == h and usable(v) and usable(w) and cos(v, w) >= 0.98]
+    pairs = [(a, b) for a, (i, v, g) in enumerate(rows) for b, (j, w, h) in enumerate(rows) if a < b and g is not None and g == h and usable(v) and usable(w) and len(v) == len(w) and cos(v, w) >= 0.98]
     n = Counter(x for p in pairs for x in p)
     up = roots(len(rows), pairs)
     smallest = {}
@@ -226,11 +243,20 @@ def test_mixing(spark, docs, empty):
     assert mixed(empty).count() == 0
 
 
+def test_mixing_of_ids_that_draw_alike(spark):
+    """Null ids, repeated ids and equal rows end within a row of the target; sort_rows makes all digits count."""
+    rows = [(None, "a", 10, f"t{i}") for i in range(400)] + [(None, "b", 10, "t") for i in range(400)] + [(7, "c", 1 + i % 50, "t") for i in range(400)] + [(i, "d", 20, "t") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, text string").repartition(5)
+    for sort_rows in (100_000, 0):
+        out = mixing.mix(df, F.col("size"), text_col="text", sort_rows=sort_rows).groupBy("source").agg(F.sum(F.col("mix_copies") * F.col("size")).alias("taken"), F.first("mix_target").alias("target")).collect()
+        assert len(out) == 4 and all(abs(x.taken - x.target) <= 50 for x in out)
+
+
 def test_mixing_comes_near_its_targets(spark):
     r = random.Random(4)
     rows = [(i, f"s{min(i % 9, 5)}", r.choice([1, 10, 300])) for i in range(6000)]
     df = spark.createDataFrame(rows, "doc_id long, source string, size long")
-    out = mixing.mix(df, F.col("size"), bins=64).groupBy("source").agg(F.sum(F.col("mix_copies") * F.col("mix_size")).alias("taken"), F.first("mix_target").alias("target")).collect()
+    out = mixing.mix(df, F.col("size"), sort_rows=10).groupBy("source").agg(F.sum(F.col("mix_copies") * F.col("mix_size")).alias("taken"), F.first("mix_target").alias("target")).collect()
     for x in out:
         assert abs(x.taken - x.target) <= 300
 
@@ -312,6 +338,23 @@ def test_repeats_equal_brute_force(spark, docs, length, reach, most):
     assert Counter((g.doc_id, g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for g in got) == want
 
 
+def test_places_are_those_of_the_corpus_order():
+    """Numbers of windows are equal where the windows are, and follow the suffix arrays of both sides."""
+    r = random.Random(21)
+    text = lambda n: bytes(r.choice(b"ab") for _ in range(n))
+    core, length = b"TRIGGER!", 14
+    rows = [(lambda a, b: (a + core + b, 0, len(a)))(text(r.randrange(6)), text(6)) for _ in range(60)]
+    raw, dmin, dmax = [x[0] for x in rows], np.array([x[1] for x in rows]), np.array([x[2] for x in rows])
+    order, shared = prefix_free.suffix_array(raw)
+    assert [raw[i] for i in order] == sorted(raw)
+    assert all(raw[a][:n] == raw[b][:n] and raw[a][n : n + 1] != raw[b][n : n + 1] or raw[a] == raw[b] for a, b, n in zip(order, order[1:], shared, strict=False))
+    offsets, place = prefix_free.corpus_places(raw, dmin, dmax, length)
+    for d, own in zip(offsets.tolist(), place, strict=True):
+        windows = [x[h - d : h - d + length] if h >= d else None for x, h in zip(raw, dmax.tolist(), strict=True)]
+        assert all((own[i] == own[j]) == (windows[i] == windows[j]) for i in range(60) for j in range(60) if windows[i] and windows[j])
+        assert all((x is None) == (y == -1) for x, y in zip(windows, own, strict=True))
+
+
 def test_repeats_of_a_long_text_and_of_nothing(spark, empty):
     r = random.Random(8)
     head = "".join(r.choice("abcdefgh ") for _ in range(400_000))
@@ -365,6 +408,8 @@ def test_sharding(spark, docs, empty):
         assert ((share > 120) & (share < 240)).all()
         order = [i for _, i in sorted(v)]
         assert abs(np.corrcoef(np.arange(len(order)), order)[0, 1]) < 0.1
+    few = shards.shuffle_into_shards(rows, 8, groups=2).groupBy("shard").count().collect()
+    assert sorted(r["count"] for r in few) == [1250] * 7 + [1251]
     again = {(r.doc_id, r.shard, r.slot) for r in shards.shuffle_into_shards(rows, 8, rows_per_bucket=300).collect()}
     assert again == {(r.doc_id, r.shard, r.slot) for r in out}
     assert sorted((r.shard, r.slot) for r in shards.shuffle_into_shards(docs, 8).collect()) == sorted((j, s) for j in range(8) for s in range(len(DOCS) // 8 + (j < len(DOCS) % 8)))
@@ -374,6 +419,14 @@ def test_sharding(spark, docs, empty):
 def test_communication_matrix():
     m = np.array(shards.communication_matrix([5, 0, 100, 7], [28, 28, 28, 28], 1))
     assert m.sum(0).tolist() == [28] * 4 and m.sum(1).tolist() == [5, 0, 100, 7]
+    r = np.random.default_rng(5)
+    for good, bad, n in ((30, 50, 20), (5, 400, 300), (1000, 1000, 7)):
+        got = np.bincount([shards.draw(r, good, bad, n) for _ in range(20_000)], minlength=n + 1)[: n + 1]
+        law = np.array([math.comb(good, k) * math.comb(bad, n - k) if k <= good and n - k <= bad else 0 for k in range(n + 1)], object)
+        law = np.array([float(x / sum(law)) for x in law])
+        assert np.abs(got / 20_000 - law).max() < 0.015
+    big = [shards.draw(r, 4 * 10**12, 28 * 10**12, 10**9) for _ in range(400)]  # mean 1.25e8, deviation 10,458
+    assert abs(np.mean(big) - 1.25e8) < 3000 and 9000 < np.std(big) < 12_000
     m = np.array(shards.communication_matrix([3_000_000_000, 5_000_000_000], [4_000_000_000] * 2, 1))
     assert m.sum(0).tolist() == [4_000_000_000] * 2 and m.sum(1).tolist() == [3_000_000_000, 5_000_000_000]
 
@@ -441,12 +494,37 @@ def test_line_dedup_equals_brute_force(spark, docs, empty, batches):
     assert line_runs.dedup_lines(empty).count() == 0
 
 
-def test_runs_stay_few(spark):
+def test_runs_stay_few_and_merge_in_place(spark):
     runs = line_runs.LineRuns(spark, fanout=2)
     for i in range(5):
         runs.add(spark.createDataFrame([(bytes([i, j]),) for j in range(3)], "h binary"))
-    assert sum(len(x) for x in runs.levels.values()) == 2 and runs.known().count() == 15
+    assert sum(len(x) for x in runs.levels.values()) == 2 and sum(t.count() for t in runs.tables()) == 15
+    asked = spark.createDataFrame([(bytes([i, 1]),) for i in range(9)], "h binary")
+    marked = runs.mark_known(asked)
+    assert sorted((r.h[0], r.known) for r in marked.collect()) == [(i, i < 5) for i in range(9)]
+
+    def above_runs(df):
+        """Exchanges with a run below them."""
+        text = df._jdf.queryExecution().executedPlan().toString()
+        depth, found = [], 0
+        for line in text.split("\n"):
+            at = len(line) - len(line.lstrip(" :+-*()0123456789"))
+            depth = [x for x in depth if x < at]
+            if "Exchange" in line:
+                depth.append(at)
+            found += "Scan parquet" in line and bool(depth)
+        return found
+
+    assert above_runs(marked) == 0 and above_runs(runs.merged([t for x in runs.levels.values() for t in x])) == 0
+    assert "SortMergeJoin" in marked._jdf.queryExecution().executedPlan().toString()
     runs.drop()
+    assert not spark.catalog.listTables()
+
+
+def test_null_ids_in_line_dedup(spark):
+    rows = [(1, "a line of its own here")] + [(None, f"text number {i} it is\na line of its own here\nsaid by all nulls") for i in range(300)]
+    out = line_runs.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), batches=3).collect()
+    assert sorted(r.text for r in out) == sorted([rows[0][1]] + [f"text number {i} it is\nsaid by all nulls" for i in range(300)])
 
 
 def test_held_out_rows(spark):
