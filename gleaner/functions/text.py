@@ -77,30 +77,64 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
+def sums_before(sizes: Column, block: int = 64) -> Column:
+    """For each element the sum of those before it. Summed by blocks first, so that long arrays don't cost their square."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+
+    def blocks(s: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / block).cast("int")), lambda b: F.slice(s, b * block + 1, F.lit(block)))
+        return F.when(F.size(s) > 0, cut).otherwise(F.array().cast("array<array<int>>"))
+
+    def inside(cut: Column, totals: Column) -> Column:
+        one = lambda x, b: let(total(F.slice(totals, F.lit(1), b)), lambda before: F.transform(x, lambda _, j: before + total(F.slice(x, F.lit(1), j))))
+        return F.flatten(F.transform(cut, one))
+
+    return let(let(sizes, blocks), lambda cut: let(F.transform(cut, total), lambda totals: inside(cut, totals)))
+
+
 def matches(text: Column, pattern: Column) -> Column:
     """All matches of a pattern that matches no empty text: array of (match, start_off, end_off).
 
     A match starts behind all matches and gaps before it.
     """
-    found, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    sizes = F.transform(F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g")), lambda x: F.struct(F.length(x["g"]).alias("g"), F.length(x["m"]).alias("n"), x["m"].alias("m")))
     empty = F.array().cast("array<struct<match:string,start_off:int,end_off:int>>")
-    folded = F.aggregate(
-        sizes,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + x["n"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(x["m"].alias("match"), (acc["at"] + x["g"]).alias("start_off"), (acc["at"] + x["g"] + x["n"]).alias("end_off")))).alias("out"),
-        ),
-    )
-    return F.coalesce(folded["out"], empty)
+
+    def zipped(p: Column) -> Column:
+        gaps = F.slice(p["gaps"], F.lit(1), F.size(p["found"]))
+        return F.zip_with(p["found"], gaps, lambda m, g: F.struct(m.alias("match"), F.length(g).alias("gap"), F.length(m).alias("n")))
+
+    def place(z: Column, before: Column) -> Column:
+        at = lambda x, i: F.get(before, i) + x["gap"]
+        return F.transform(z, lambda x, i: F.struct(x["match"].alias("match"), at(x, i).alias("start_off"), (at(x, i) + x["n"]).alias("end_off")))
+
+    pieces = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    placed = let(let(pieces, zipped), lambda z: let(sums_before(F.transform(z, lambda x: x["gap"] + x["n"])), lambda before: place(z, before)))
+    return F.coalesce(F.when(text.isNotNull(), placed), empty)
+
+
+def starts(text: Column, ahead: str) -> Column:
+    """(found, at) of a pattern of no width that holds one group: the groups and their places.
+
+    Parted at such places, a text's pieces start at them, but for one before
+    the first place if that isn't the text's start.
+    """
+
+    def place(p: Column) -> Column:
+        sizes = F.transform(p["pieces"], lambda x: F.length(x))
+        lead = F.size(p["pieces"]) - F.size(p["found"])
+        at = let(sums_before(sizes), lambda before: F.slice(before, lead + 1, F.size(p["found"])))
+        return F.arrays_zip(p["found"].alias("match"), at.alias("start_off"))
+
+    pieces = F.struct(F.regexp_extract_all(text, F.lit(ahead), F.lit(1)).alias("found"), F.split(text, ahead, -1).alias("pieces"))
+    empty = F.array().cast("array<struct<match:string,start_off:int>>")
+    return F.coalesce(F.when(text.isNotNull(), let(pieces, lambda p: F.when(F.size(p["found"]) > 0, place(p)))), empty)
 
 
 def occurrences(text: Column, phrase: Column) -> Column:
     """Starts of the occurrences of a phrase, from the left, without overlaps."""
     parts = F.split(text, F.concat(F.lit("\\Q"), phrase, F.lit("\\E")), -1)
-    heads = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    return F.transform(heads, lambda _, i: F.aggregate(F.slice(heads, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x)) + i * F.length(phrase))
+    heads = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x: F.length(x))
+    return let(heads, lambda h: let(sums_before(F.transform(h, lambda n: n + F.length(phrase))), lambda before: F.transform(h, lambda n, i: F.get(before, i) + n)))
 
 
 def escape_html(text: Column) -> Column:
@@ -114,23 +148,23 @@ def escape_pattern(text: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    """(text, n_emails, n_urls, n_phones, name): mail addresses, URLs, phone numbers and a name line replaced, in this order."""
-
-    def steps(x: Column) -> Column:
-        no_mail = F.regexp_replace(x, lx.EMAIL, "[EMAIL]")
-        no_url = F.regexp_replace(no_mail, lx.URL, "[URL]")
-        no_phone = F.regexp_replace(no_url, lx.PHONE, "[PHONE]")
-        lines = F.split(no_phone, "\n")
-        first = F.filter(F.transform(F.slice(lines, 1, 5), lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda s: strip(s["v"]) != "")
-        head = F.get(first, F.lit(0))
-        named = F.coalesce(head["v"].rlike(lx.NAME_LINE), F.lit(False))
-        out = F.when(named, F.array_join(F.transform(lines, lambda v, i: F.when(i == head["i"], F.lit("[NAME]")).otherwise(v)), "\n")).otherwise(no_phone)
-        return F.struct(
-            out.alias("text"),
-            F.regexp_count(x, F.lit(lx.EMAIL)).alias("n_emails"),
-            F.regexp_count(no_mail, F.lit(lx.URL)).alias("n_urls"),
-            F.regexp_count(no_url, F.lit(lx.PHONE)).alias("n_phones"),
-            named.alias("name"),
-        )
-
-    return let(text, steps)
+    """(text, n_emails, n_urls, n_phones, name): mail addresses, URLs, phone numbers and a name line replaced, in this order.
+
+    Each pattern parts the text once: the pieces give the text and the count.
+    """
+
+    def name_line(t: Column, m: Column, u: Column, p: Column) -> Column:
+        def replaced(head: Column, k: Column) -> Column:  # k: the first line that isn't blank, from 1, or 0
+            line = F.get(head, k - 1)
+            off = F.aggregate(F.slice(head, F.lit(1), F.greatest(k - 1, F.lit(0))), F.lit(0), lambda a, x: a + F.length(x) + 1)
+            named = F.coalesce(line.rlike(lx.NAME_LINE), F.lit(False))
+            out = F.when(named, F.concat(F.substring(t, F.lit(1), off), F.lit("[NAME]"), F.substring(t, off + F.length(line) + 1, F.length(t)))).otherwise(t)
+            return F.struct(out.alias("text"), (F.size(m) - 1).alias("n_emails"), (F.size(u) - 1).alias("n_urls"), (F.size(p) - 1).alias("n_phones"), named.alias("name"))
+
+        first = lambda head: F.array_position(F.transform(head, lambda x: strip(x) != ""), True).cast("int")
+        return let(F.slice(F.split(t, "\n", 6), 1, 5), lambda head: let(first(head), lambda k: replaced(head, k)))
+
+    def phones(m: Column, u: Column) -> Column:
+        return let(F.split(F.array_join(u, "[URL]"), lx.PHONE, -1), lambda p: let(F.array_join(p, "[PHONE]"), lambda t: name_line(t, m, u, p)))
+
+    return let(F.split(text, lx.EMAIL, -1), lambda m: let(F.split(F.array_join(m, "[EMAIL]"), lx.URL, -1), lambda u: phones(m, u)))

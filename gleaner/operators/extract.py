@@ -2,40 +2,74 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
+from .lines import span_segment
 
 
-def alias_pattern(alias: str) -> str:
-    """An alias between boundaries; up to two characters case-sensitive, as it is or in upper case."""
-    quoted = "".join(c if c.isalnum() or c == " " else "\\" + c for c in alias)
-    if len(alias) <= 2:
-        upper = "".join(c if c.isalnum() or c == " " else "\\" + c for c in alias.upper())
-        body, flags = f"{quoted}|{upper}", ""
-    else:
-        body, flags = quoted, "(?i)"
-    return rf"{flags}(?<![A-Za-z0-9+#.])(?:{body})(?![A-Za-z0-9+#])"
+def _ahead(aliases: list[str], flags: str) -> str:
+    """A pattern of no width before the longest alias at a place, between an alias's boundaries."""
+    quoted = {a: "".join(c if c.isalnum() or c == " " else "\\" + c for c in a) for a in aliases}
+    heads = "".join("\\" + c if c in "[]^-&\\" else c for c in sorted({a[0] for a in aliases}))
+    longest = "|".join(quoted[a] for a in sorted(aliases, key=lambda a: (-len(a), a)))
+    return rf"{flags}(?<![A-Za-z0-9+#.])(?=[{heads}])(?=({longest})(?![A-Za-z0-9+#]))"
 
 
-def skill_mentions(docs: DataFrame) -> DataFrame:
-    """doc_id, canonical, text, start_off, end_off: all matches of all aliases, overlapping ones too.
+def _skills_at(aliases: dict[str, list[str]]) -> dict[str, list[tuple[str, int]]]:
+    """Longest alias at a place -> (canonical, length) of all aliases there: those that start it and end at a boundary."""
+    out = {}
+    for long in aliases:
+        here = [a for a in aliases if long.startswith(a) and (a == long or not (long[len(a)].isalnum() or long[len(a)] in "+#"))]
+        out[long] = [(c, len(a)) for a in here for c in aliases[a]]
+    return out
+
 
-    A document is tried with the aliases that it contains at all; neither join
-    nor shuffle is needed, and no pattern runs over a text without a hit.
+def skill_hits(text: F.Column) -> F.Column:
+    """All matches of all aliases in a text, overlapping ones too: array of (canonical, text, start_off, end_off).
+
+    The text is read twice, whatever the number of aliases: once for aliases of
+    three characters and more, whatever their case, once for shorter ones in
+    their own or upper case. The longest alias at a place tells the others.
     """
-    rules = F.array(*[F.struct(F.lit(c).alias("canonical"), F.lit(a).alias("alias"), F.lit(alias_pattern(a)).alias("pattern")) for _, c, a in lx.skill_rules()])
-    held = tx.let(F.lower("text"), lambda low: F.filter(rules, lambda r: F.contains(low, r["alias"])))
-    hits = docs.select("doc_id", "text", F.explode(held).alias("rule"))
-    found = hits.select("doc_id", "rule.canonical", F.explode(tx.matches(F.col("text"), F.col("rule.pattern"))).alias("m"))
-    return found.select("doc_id", "canonical", F.col("m.match").alias("text"), "m.start_off", "m.end_off")
+    long: dict[str, list[str]] = {}
+    short: dict[str, list[str]] = {}
+    for _, canonical, alias in lx.skill_rules():
+        if len(alias) > 2:
+            long.setdefault(alias.lower(), []).append(canonical)
+        else:
+            for form in dict.fromkeys((alias, alias.upper())):
+                short.setdefault(form, []).append(canonical)
+
+    def found(aliases: dict[str, list[str]], flags: str, form) -> F.Column:
+        table = F.create_map(*[x for a, at in _skills_at(aliases).items() for x in (F.lit(a), F.array(*[F.struct(F.lit(c).alias("canonical"), F.lit(n).alias("n")) for c, n in at]))])
+        mention = lambda h, s: F.struct(s["canonical"].alias("canonical"), F.substring(h["match"], F.lit(1), s["n"]).alias("text"), h["start_off"].alias("start_off"), (h["start_off"] + s["n"]).alias("end_off"))
+        return F.flatten(F.transform(tx.starts(text, _ahead(list(aliases), flags)), lambda h: F.transform(F.element_at(table, form(h["match"])), lambda s: mention(h, s))))
+
+    return F.concat(found(long, "(?i)", F.lower), found(short, "", lambda m: m))
+
+
+def skill_mentions(docs: DataFrame) -> DataFrame:
+    """doc_id, canonical, text, start_off, end_off: a row for each match; nothing is shuffled."""
+    return docs.select("doc_id", F.explode(skill_hits(F.col("text"))).alias("m")).select("doc_id", "m.canonical", "m.text", "m.start_off", "m.end_off")
 
 
 def skill_dedup(mentions: DataFrame) -> DataFrame:
-    """Of overlapping mentions of one canonical the first and longest; the kept ones are apart, so each is held against the last kept."""
-    spans = mentions.groupBy("doc_id", "canonical").agg(F.sort_array(F.collect_list(F.struct("start_off", (-F.col("end_off")).alias("neg"), "text"))).alias("spans"))
+    """Of overlapping mentions of one canonical the first and longest; the kept ones are apart.
+
+    A mention that starts behind all before it is kept and opens an island;
+    within an island of overlapping ones each is held against the last kept, in
+    order. Islands are short whatever a document's length.
+    """
+    order = Window.partitionBy("doc_id", "canonical").orderBy("start_off", F.col("end_off").desc(), "text")
+    reach = F.max("end_off").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    m = mentions.withColumn("new", F.coalesce((F.col("start_off") >= reach).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(order))
+    spans = m.groupBy("doc_id", "canonical", "island").agg(F.sort_array(F.collect_list(F.struct("start_off", (-F.col("end_off")).alias("neg"), "text"))).alias("spans"))
     empty = F.array().cast("array<struct<start_off:int,neg:int,text:string>>")
     kept = F.aggregate(
         "spans",
@@ -146,3 +180,53 @@ def merge_skills(rules: DataFrame, nlp: DataFrame) -> DataFrame:
     both = rules.select(*cols, F.lit("rules").alias("extractor")).unionByName(new.select(*cols, F.lit("rules+nlp").alias("extractor")))
     first = Window.partitionBy("doc_id", "start_off", "end_off", "canonical").orderBy("extractor", "text")
     return both.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
+def rules_extraction(docs: DataFrame, lines: DataFrame, segs: DataFrame) -> dict[str, DataFrame]:
+    """The rules' whole result: skills, experiences and education, each with the segment that holds its start, and extractor."""
+    found = {"skills": skill_dedup(skill_mentions(docs)), "experiences": experiences(docs), "education": education(lines)}
+    return {k: span_segment(v, segs).withColumn("extractor", F.lit("rules")) for k, v in found.items()}
+
+
+def pseudo_gold(docs: DataFrame) -> DataFrame:
+    """doc_id, canonical of which an English alias stands alone, in all lower case and with a dot allowed before it.
+
+    A looser reading than the rules': what it finds is no annotation.
+    """
+    d = docs.select("doc_id", F.lower("text").alias("low"))
+    aliases = F.array(*[F.struct(F.lit(c).alias("canonical"), F.lit(a).alias("alias")) for c, forms in lx.SKILLS_EN.items() for a in forms])
+    held = d.select("doc_id", "low", F.explode(F.filter(aliases, lambda r: F.contains("low", r["alias"]))).alias("r"))
+    alone = F.expr("low rlike concat('(?<![a-z0-9+#])', regexp_replace(r.alias, '([^A-Za-z0-9 ])', '\\\\\\\\$1'), '(?![a-z0-9+#])')")
+    return held.where(alone).select("doc_id", "r.canonical").distinct()
+
+
+def word_tags(words: DataFrame, tag: Callable[[list[str]], tuple[list[int], list[str]]], chunk: int = 100, max_pieces: int = 510) -> DataFrame:
+    """``words`` (of word_spans) with tag, from a model that reads pieces.
+
+    ``tag`` gets the words of a chunk and gives the number of pieces of each
+    word and the label of each piece. A word's tag is the first of its pieces'
+    labels that isn't O; what lies behind ``max_pieces`` pieces is O, as is all
+    of a chunk whose call fails.
+    """
+    w = words.withColumn("chunk", F.floor((F.col("word_no") - 1) / chunk))
+    lists = w.groupBy("doc_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("word_no", "text", "start_off", "end_off"))).alias("words"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for own in b["words"]:
+                tags, at = ["O"] * len(own), 0
+                try:
+                    counts, labels = tag([x["text"] for x in own])
+                    for i, n in enumerate(counts):
+                        tags[i] = next((x for x in labels[at : min(at + n, max_pieces)] if x != "O"), "O")
+                        at += n
+                except Exception:
+                    tags = ["O"] * len(own)
+                out.append(tags)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "words": b["words"], "tags": out})
+
+    shape = lists.schema["words"].dataType.simpleString()
+    tagged = lists.select("doc_id", "words").mapInPandas(run, f"doc_id {lists.schema['doc_id'].dataType.simpleString()}, words {shape}, tags array<string>")
+    each = tagged.select("doc_id", F.explode(F.arrays_zip("words", "tags")).alias("x"))
+    return each.select("doc_id", "x.words.word_no", "x.words.text", "x.words.start_off", "x.words.end_off", F.col("x.tags").alias("tag"))

@@ -12,6 +12,7 @@ from ..functions import lexicon as lx
 from ..functions import text as tx
 from .lines import heading_section
 from .statements import statement_class
+from .vectors import pairwise
 
 
 def missing_sections(docs: DataFrame, segs: DataFrame) -> DataFrame:
@@ -76,32 +77,54 @@ def unsupported_claims(lines: DataFrame) -> DataFrame:
     return d.select("doc_id", "line_no", "segment", F.lit(0.6).alias("confidence"), F.col("claim").alias("evidence"), start.alias("start_off"), (start + F.length("claim")).cast("int").alias("end_off"))
 
 
-def redundant_pairs(lines: DataFrame, threshold: float = 0.85, min_words: int = 4, same_segment: bool = False) -> DataFrame:
+def redundant_pairs(lines: DataFrame, threshold: float = 0.85, min_words: int = 4, same_segment: bool = False, vectors: str | None = None) -> DataFrame:
     """doc_id, line_a, line_b, score, evidence_a, evidence_b of lines whose content words mostly agree.
 
-    Only lines that share a rare enough word meet: each line's words are put in
-    one order, and two lines above the threshold share one of the first
-    n - ceil(threshold * n) + 1 of them. Pairs of such words join on
-    (document, word); the score is taken on the whole sets.
+    Lines of one set of words are one class. A class's words are put in order,
+    those of fewest classes in the document first, and two classes above the
+    threshold share one of the first n - ceil(threshold * n) + 1 of them: on
+    such words the classes' numbers meet, and only pairs that do bring their
+    words together. With ``vectors``, a column of the lines, the score is the
+    cosine of all pairs of a document's lines instead; lines without one pair
+    with none.
     """
-    d = lines.withColumn("w", F.array_sort(tx.content_words(F.col("stripped")))).where(F.size("w") >= min_words)
-    d = d.select("doc_id", "line_no", "segment", "stripped", "s_start", "s_end", "w")
-    n = F.size("w")
-    head = F.slice("w", F.lit(1), (n - F.ceil(F.lit(threshold) * n - F.lit(1e-9)) + 1).cast("int"))
-    keyed = d.select("doc_id", "line_no", "segment", "w", F.explode(head).alias("word"))
-    a = keyed.select("doc_id", "word", F.col("line_no").alias("line_a"), F.col("segment").alias("seg_a"), F.col("w").alias("wa"))
-    b = keyed.select("doc_id", "word", F.col("line_no").alias("line_b"), F.col("segment").alias("seg_b"), F.col("w").alias("wb"))
-    pairs = a.join(b, ["doc_id", "word"]).where(F.col("line_a") < F.col("line_b"))
+    w = F.array_sort(tx.content_words(F.col("stripped")))
+    d = lines.withColumn("w", w).where(F.size("w") >= min_words)
+    if vectors:
+        scored = pairwise(d.where(F.col(vectors).isNotNull()), "doc_id", "line_no", vectors).where(F.col("score") >= threshold)
+        return _with_evidence(scored.select("doc_id", F.col("a").alias("line_a"), F.col("b").alias("line_b"), "score"), d, same_segment)
+    by = ["doc_id", "segment"] if same_segment else ["doc_id"]
+    c = d.groupBy(*by, "w").agg(F.sort_array(F.collect_list("line_no")).alias("own")).withColumn("c", F.col("own")[0])
+    seen = Window.partitionBy(*by, "word")
+    n = F.size("o")
+    ordered = c.select(*by, "c", F.explode("w").alias("word")).withColumn("f", F.count("*").over(seen)).where("f > 1")
+    ordered = ordered.groupBy(*by, "c").agg(F.sort_array(F.collect_list(F.struct("f", "word"))).alias("o"))
+    # words of one class alone stand first and meet nothing: they take their part of the head
+    sized = ordered.join(c.select(*by, "c", F.size("w").alias("n")), [*by, "c"])
+    head = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)) + 1 - (F.col("n") - n)).cast("int")
+    keyed = sized.where(head > 0).select(*by, "c", "n", F.explode(F.slice("o", F.lit(1), head)["word"]).alias("word"))
+    a = keyed.select(*by, "word", F.col("c").alias("ca"), F.col("n").alias("na"))
+    b = keyed.select(*by, "word", F.col("c").alias("cb"), F.col("n").alias("nb"))
+    met = a.join(b, [*by, "word"]).where((F.col("ca") < F.col("cb")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9))
+    met = met.select(*by, "ca", "cb").distinct()
+    met = met.join(c.select(*by, F.col("c").alias("ca"), F.col("w").alias("wa"), F.col("own").alias("la")), [*by, "ca"])
+    met = met.join(c.select(*by, F.col("c").alias("cb"), F.col("w").alias("wb"), F.col("own").alias("lb")), [*by, "cb"])
+    met = met.withColumn("score", tx.jaccard(F.col("wa"), F.col("wb"))).where(F.col("score") >= threshold)
+    across = met.select("doc_id", F.explode("la").alias("x"), "lb", "score").select("doc_id", "x", F.explode("lb").alias("y"), "score")
+    within = c.where(F.size("own") > 1).select("doc_id", F.explode("own").alias("x"), "own", F.lit(1.0).alias("score"))
+    within = within.select("doc_id", "x", F.explode(F.filter("own", lambda y: y > F.col("x"))).alias("y"), "score")
+    pairs = across.unionByName(within).select("doc_id", F.least("x", "y").alias("line_a"), F.greatest("x", "y").alias("line_b"), "score")
+    return _with_evidence(pairs, d, False)
+
+
+def _with_evidence(pairs: DataFrame, d: DataFrame, same_segment: bool) -> DataFrame:
+    text = d.select("doc_id", "line_no", "stripped", "segment")
+    of = lambda x: text.select("doc_id", F.col("line_no").alias(f"line_{x}"), F.col("stripped").alias(f"evidence_{x}"), F.col("segment").alias(f"seg_{x}"))
+    out = pairs.select("doc_id", "line_a", "line_b", F.round(F.least("score", F.lit(1.0)), 3).alias("score"))
+    out = out.join(of("a"), ["doc_id", "line_a"]).join(of("b"), ["doc_id", "line_b"])
     if same_segment:
-        pairs = pairs.where(F.col("seg_a") == F.col("seg_b"))
-    pairs = pairs.where(F.col("word") == F.array_min(F.array_intersect("wa", "wb")))  # each pair once
-    pairs = pairs.withColumn("score", tx.jaccard(F.col("wa"), F.col("wb"))).where(F.col("score") >= threshold)
-    text = d.select("doc_id", "line_no", "stripped")
-    pairs = pairs.select("doc_id", "line_a", "line_b", F.round(F.least("score", F.lit(1.0)), 3).alias("score"))
-    pairs = pairs.join(text.select("doc_id", F.col("line_no").alias("line_a"), F.col("stripped").alias("evidence_a")), ["doc_id", "line_a"])
-    return pairs.join(text.select("doc_id", F.col("line_no").alias("line_b"), F.col("stripped").alias("evidence_b")), ["doc_id", "line_b"]).select(
-        "doc_id", "line_a", "line_b", "score", "evidence_a", "evidence_b"
-    )
+        out = out.where(F.col("seg_a") == F.col("seg_b"))
+    return out.select("doc_id", "line_a", "line_b", "score", "evidence_a", "evidence_b")
 
 
 def line_jaccard(lines: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,8 +68,11 @@ def classify(scored: DataFrame, detector: tuple[str, str] | None = None) -> Data
     return d.drop("_w")
 
 
-def line_languages(lines: DataFrame) -> DataFrame:
-    return classify(lines.withColumn("scores", lang_scores(F.col("stripped"))))
+def line_languages(lines: DataFrame, detector: Callable[[str], tuple[str, float]] | None = None) -> DataFrame:
+    """Lines with lang, confidence and method, by the word lists and ``detector``, if there is one."""
+    found = detect(lines, detector) if detector else lines
+    out = classify(found.withColumn("scores", lang_scores(F.col("stripped"))), ("found_lang", "found_prob") if detector else None)
+    return out.drop("found_lang", "found_prob")
 
 
 def lang_mix(lines: DataFrame) -> DataFrame:
@@ -80,3 +86,26 @@ def report_lang(lines: DataFrame) -> DataFrame:
     labelled = line_languages(lines)
     more = F.count_if((F.col("lang") == "id") & (F.col("stripped") != "")) > F.count_if((F.col("lang") == "en") & (F.col("stripped") != ""))
     return labelled.groupBy("doc_id").agg(F.when(more, "id").otherwise("en").alias("lang"))
+
+
+def detect(lines: DataFrame, detector: Callable[[str], tuple[str, float]]) -> DataFrame:
+    """Adds found_lang and found_prob of a statistical detector, in Arrow batches; where it fails, other without a probability.
+
+    Only lines long enough to be asked about are sent to it.
+    """
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = []
+            for text in b["stripped"]:
+                try:
+                    got.append(detector(text))
+                except Exception:
+                    got.append(("other", None))
+            yield b.assign(found_lang=[g[0] for g in got], found_prob=[g[1] for g in got])
+
+    asked = lines.where(F.size(tokens(F.col("stripped"))) >= lx.SHORT_LINE_TOKENS)
+    rest = lines.where(F.size(tokens(F.col("stripped"))) < lx.SHORT_LINE_TOKENS)
+    none = rest.withColumns({"found_lang": F.lit(None).cast("string"), "found_prob": F.lit(None).cast("double")})
+    return asked.mapInPandas(run, shape + ", found_lang string, found_prob double").unionByName(none)

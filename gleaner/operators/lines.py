@@ -86,3 +86,15 @@ def span_segment(spans: DataFrame, segs: DataFrame) -> DataFrame:
 def is_bullet_line(text) -> F.Column:
     """Whether a line starts with a bullet or a number, and goes on."""
     return tx.lstrip(text).rlike(r"^(?:[-•▪◦*·›>+]|\d+[.)])\s+\S")
+
+
+def first_segment(segs: DataFrame, name: str) -> DataFrame:
+    """The first segment of that name of each document that has one."""
+    of_name = segs.where(F.col("name") == name)
+    first = of_name.groupBy("doc_id").agg(F.min("seg_no").alias("seg_no"))
+    return of_name.join(first, ["doc_id", "seg_no"]).select(segs.columns)
+
+
+def segment_lines(lines: DataFrame, name: str) -> DataFrame:
+    """The lines of all segments of that name."""
+    return lines.where(F.col("segment") == name)

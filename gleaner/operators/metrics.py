@@ -87,3 +87,23 @@ def gold_run(predicted: dict[str, DataFrame], gold: dict[str, DataFrame], strict
     return out
 
 
+
+
+def two_modes(baseline: dict[str, DataFrame], system: dict[str, DataFrame], gold: dict[str, DataFrame], strict: bool = False) -> DataFrame:
+    """feature, baseline and system precision, recall and f1, and their differences, of two extractions against one gold."""
+    rate = lambda d, mode: gold_run(d, gold, strict).select("feature", *[F.col(c).alias(f"{mode}_{c}") for c in ("precision", "recall", "f1")])
+    both = rate(baseline, "baseline").join(rate(system, "system"), "feature")
+    return both.select("*", *[F.round(F.col(f"system_{c}") - F.col(f"baseline_{c}"), 4).alias(f"delta_{c}") for c in ("precision", "recall", "f1")])
+
+
+def document_counts(docs: DataFrame, predicted: DataFrame, gold: DataFrame) -> DataFrame:
+    """doc_id, n_pred, n_gold of every document."""
+    n = lambda d, c: d.groupBy("doc_id").agg(F.count("*").alias(c))
+    both = docs.select("doc_id").join(n(predicted, "n_pred"), "doc_id", "left").join(n(gold, "n_gold"), "doc_id", "left")
+    return both.select("doc_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_pred", "n_gold")])
+
+
+def corpus_sets(docs: DataFrame, predicted: DataFrame, gold: DataFrame, key: str = "canonical") -> DataFrame:
+    """n_docs, n_without (documents without a prediction), tp, fp, fn, precision, recall, f1 of the sets of keys of all documents together."""
+    without = document_counts(docs, predicted, gold).agg(F.count("*").alias("n_docs"), F.count_if(F.col("n_pred") == 0).alias("n_without"))
+    return without.join(F.broadcast(prf_sets(predicted, gold, [key])), how="cross")  # one row each

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,24 +29,32 @@ def rate_limit(events: DataFrame, key: str = "user_id", ts: str = "ts", order: s
 
     Denied calls don't count; a call exactly per_seconds old still does. The
     decision depends on all before it, but a quiet time of more than
-    per_seconds empties the window: a key's events are cut there, so that what
-    is folded in one row is a burst, not a key's whole history.
+    per_seconds empties the window: a key's events are cut there into bursts,
+    which are dealt apart. A burst streams through in order, and all that is
+    held of it is its last ``max_calls`` allowed calls.
     """
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    e = events.select(F.col(key).alias("k"), F.col(order).alias("o"), us.alias("t"))
+    e = events.select(F.col(key).alias("k"), F.col(order).cast("bigint").alias("o"), us.alias("t"))
     by = Window.partitionBy("k").orderBy("t", "o")
-    quiet = F.coalesce(F.col("t") - F.lag("t").over(by) > per_seconds * 1_000_000, F.lit(True))
-    e = e.withColumn("burst", F.sum(quiet.cast("int")).over(by))
-    bursts = e.groupBy("k", "burst").agg(F.sort_array(F.collect_list(F.struct("t", "o"))).alias("calls"))
-    start = F.struct(F.array().cast("array<bigint>").alias("w"), F.array().cast("array<struct<o:bigint,t:bigint,allowed:boolean,retry:double>>").alias("out"))
     period = per_seconds * 1_000_000
-
-    def step(acc: Column, x: Column) -> Column:
-        w = F.filter(acc["w"], lambda t0: t0 >= x["t"] - period)
-        ok = F.size(w) < max_calls
-        wait = F.greatest(F.lit(0.0), (period - (x["t"] - F.get(w, F.lit(0)))) / 1_000_000)
-        row = F.struct(x["o"].cast("bigint").alias("o"), x["t"].alias("t"), ok.alias("allowed"), F.when(ok, F.lit(0.0)).otherwise(wait).alias("retry"))
-        return F.struct(F.when(ok, F.concat(w, F.array(x["t"]))).otherwise(w).alias("w"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    done = bursts.select("k", F.explode(F.aggregate("calls", start, step)["out"]).alias("r"))
-    return done.select(F.col("k").alias(key), F.col("r.o").alias(order), F.timestamp_micros("r.t").alias(ts), "r.allowed", F.col("r.retry").alias("retry_after_s"))
+    quiet = F.coalesce(F.col("t") - F.lag("t").over(by) > period, F.lit(True))
+    e = e.withColumn("burst", F.sum(quiet.cast("int")).over(by)).repartition("k", "burst").sortWithinPartitions("k", "burst", "t", "o")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, deque()
+        for b in batches:
+            allowed, wait = [], []
+            for k, burst, t in zip(b.column("k").to_pylist(), b.column("burst").to_pylist(), b.column("t").to_pylist(), strict=True):
+                if (k, burst) != now:
+                    now, held = (k, burst), deque()
+                while held and held[0] < t - period:
+                    held.popleft()
+                ok = len(held) < max_calls
+                wait.append(0.0 if ok or not held else max(0.0, (period - (t - held[0])) / 1_000_000))
+                allowed.append(ok)
+                if ok:
+                    held.append(t)
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("o"), b.column("t"), pa.array(allowed, pa.bool_()), pa.array(wait, pa.float64())], names=["k", "o", "t", "allowed", "retry"])
+
+    done = e.mapInArrow(decide, f"k {e.schema['k'].dataType.simpleString()}, o long, t long, allowed boolean, retry double")
+    return done.select(F.col("k").alias(key), F.col("o").alias(order), F.timestamp_micros("t").alias(ts), "allowed", F.col("retry").alias("retry_after_s"))

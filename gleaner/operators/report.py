@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as lx
+from ..functions import text as tx
+from ..sources.tables import Config
 from . import findings as fi
 from . import lines as ln
-from .extract import date_ranges, education, skill_dedup, skill_mentions
+from .extract import merge_skills, rules_extraction, skill_hits
 from .language import line_languages
 from .relevance import relevance, relevance_summary
 from .render import finding_rows, render_messages
+from .rewrite import number_findings
+from .statements import statement_class
+
+VERSION = "0.2.0"
 
 
 def all_findings(docs: DataFrame, lines: DataFrame, segs: DataFrame) -> DataFrame:
@@ -35,36 +44,119 @@ def document_languages(lines: DataFrame) -> DataFrame:
     return n.withColumn("lang", F.when(F.col("n_id") > F.col("n_en"), "id").otherwise("en"))
 
 
+def _line_figures(lines: DataFrame) -> DataFrame:
+    """doc_id and all that the lines of a document tell by themselves, in one aggregation."""
+    stripped, low = F.col("stripped"), F.lower("stripped")
+    n_words = tx.word_count(stripped)
+    vague = F.when(n_words >= 5, statement_class(stripped)["label"] == "duty").otherwise(F.lit(False))
+    told = F.col("segment").isin("experience", "education") & F.col("heading").isNull()
+    claims = F.col("segment").isin("summary", "skills", "document", "other") & (n_words >= 4) & tx.any_of(low, lx.CLAIMS)
+    span = fi.claim_span(stripped)
+    claimed = tx.let(span, lambda s: F.lower(F.substring(stripped, s["first"] + 1, s["last"] - s["first"])))
+    d = lines.withColumn("_vague", vague).withColumn("_told", F.when(told, low)).withColumn("_claim", F.when(claims, F.filter(tx.words(claimed), lambda w: F.length(w) > 3)))
+    labelled = line_languages(d.withColumn("_edu", F.col("text").rlike(lx.DEGREE) | F.col("text").rlike(lx.GPA)))
+    said = lambda x: F.count_if((F.col("lang") == x) & (stripped != ""))
+    out = labelled.groupBy("doc_id").agg(
+        F.count("*").alias("n_lines"), F.sort_array(F.collect_set("segment")).alias("found"), F.when(said("id") > said("en"), "id").otherwise("en").alias("lang"),
+        F.count_if("_edu").alias("n_education"), F.count_if("_vague").alias("n_vague"), F.array_join(F.collect_list("_told"), " ").alias("_support"), F.collect_list("_claim").alias("_claims"),
+    )
+    free = F.filter("_claims", lambda c: ~F.exists(c, lambda w: F.contains(F.col("_support"), w)))
+    return out.withColumn("n_unsupported", F.size(free)).drop("_support", "_claims")
+
+
 def report(docs: DataFrame, requirements: DataFrame | None = None) -> DataFrame:
     """doc_id, n_lines, sections, lang, skills, n_ranges, n_education, n_missing, n_vague, n_redundant, n_unsupported, n_matched.
 
-    sections and skills are joined names in order. n_matched is 0 without
-    requirements. Everything is keyed by doc_id, so the parts join without a
-    further order.
+    A digest of full_report: counts and names. sections and skills are joined
+    names in order. n_matched is 0 without requirements. What a text or a line
+    tells by itself is counted in one pass; everything is keyed by doc_id, so
+    the parts join without a further order.
     """
     lines = ln.document_lines(docs)
-    segs = ln.segments(lines)
-    per_line = lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"))
-    sections = segs.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("name")), ",").alias("sections"))
-    skills = skill_dedup(skill_mentions(docs)).groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("canonical")), ",").alias("skills"))
-    out = docs.select("doc_id").join(per_line, "doc_id", "left").join(sections, "doc_id", "left").join(document_languages(lines).select("doc_id", "lang"), "doc_id", "left").join(skills, "doc_id", "left")
-    counted = {
-        "n_ranges": date_ranges(docs), "n_education": education(lines), "n_missing": fi.missing_sections(docs, segs), "n_vague": fi.vague_bullets(lines),
-        "n_redundant": fi.redundant_pairs(lines), "n_unsupported": fi.unsupported_claims(lines),
-    }
-    for name, found in counted.items():
-        out = out.join(found.groupBy("doc_id").agg(F.count("*").alias(name)), "doc_id", "left")
+    canonicals = F.array_sort(F.array_distinct(skill_hits(F.col("text"))["canonical"]))
+    head = tx.strip(F.substring(F.coalesce("text", F.lit("")), 1, 80)) != ""
+    out = docs.select("doc_id", F.array_join(canonicals, ",").alias("skills"), F.size(tx.matches(F.col("text"), F.lit(lx.DATE_RANGE))).alias("n_ranges"), head.alias("_head"))
+    out = out.join(_line_figures(lines), "doc_id", "left")
+    gaps = F.size(F.array_except(F.array(*[F.lit(s) for s in lx.SECTIONS]), F.coalesce("found", F.array().cast("array<string>"))))
+    out = out.withColumn("n_missing", ((gaps > 0) & F.col("_head")).cast("long"))
+    out = out.join(fi.redundant_pairs(lines).groupBy("doc_id").agg(F.count("*").alias("n_redundant")), "doc_id", "left")
     if requirements is not None:
         out = out.join(relevance_summary(relevance(lines, requirements)).groupBy("doc_id").agg(F.sum("n_matched").alias("n_matched")), "doc_id", "left")
     else:
         out = out.withColumn("n_matched", F.lit(0).cast("long"))
-    numbers = ["n_lines", *counted, "n_matched"]
+    numbers = ["n_lines", "n_ranges", "n_education", "n_missing", "n_vague", "n_redundant", "n_unsupported", "n_matched"]
     return out.select(
-        "doc_id", F.coalesce("sections", F.lit("")).alias("sections"), F.coalesce("lang", F.lit("en")).alias("lang"), F.coalesce("skills", F.lit("")).alias("skills"),
+        "doc_id", F.coalesce(F.array_join("found", ","), F.lit("")).alias("sections"), F.coalesce("lang", F.lit("en")).alias("lang"), F.coalesce("skills", F.lit("")).alias("skills"),
         *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers],
     )
 
 
+EVIDENCE = "array<struct<text:string,start:int,end:int,source_segment:string,line_number:int>>"
+
+
+def _finding_structs(docs: DataFrame, lines: DataFrame, segs: DataFrame) -> DataFrame:
+    """doc_id, findings: all findings of a document in order, with messages and evidence."""
+    found = number_findings(all_findings(docs, lines, segs), None)
+    at = lines.select("doc_id", F.col("line_no").cast("string").alias("_line"), F.col("s_start").alias("_s"), F.col("s_end").alias("_e"), F.col("segment").alias("_seg"))
+    piece = lambda text, start, end, seg, line: F.struct(text.alias("text"), start.alias("start"), end.alias("end"), seg.alias("source_segment"), line.cast("int").alias("line_number"))
+    first = at.select("doc_id", F.col("_line").alias("_l1"), F.col("_s").alias("_s1"), F.col("_e").alias("_e1"), F.col("_seg").alias("_g1"))
+    found = found.withColumn("_l1", F.coalesce("line_no", "line_a")).join(first, ["doc_id", "_l1"], "left")
+    second = at.select("doc_id", F.col("_line").alias("line_b"), F.col("_s").alias("_s2"), F.col("_e").alias("_e2"), F.col("_seg").alias("_g2"))
+    found = found.join(second, ["doc_id", "line_b"], "left")
+    one = piece(F.col("evidence"), F.coalesce("start_off", "_s1"), F.coalesce("end_off", "_e1"), F.coalesce("_g1", F.lit("document")), F.col("_l1"))
+    two = piece(F.col("evidence_b"), F.col("_s2"), F.col("_e2"), F.col("_g2"), F.col("line_b"))
+    evidence = F.when(F.col("line_b").isNull(), F.array(one)).otherwise(F.array(one, two)).cast(EVIDENCE)
+    details = F.struct("cue", "score", "missing", "found")
+    each = F.struct("finding_no", "kind", "message", "confidence", evidence.alias("evidence"), details.alias("details"))
+    return found.groupBy("doc_id").agg(F.sort_array(F.collect_list(each)).alias("findings"))
+
+
+def full_report(
+    docs: DataFrame, requirements: DataFrame | None = None, config: Config | None = None, summary: DataFrame | None = None, nlp_skills: DataFrame | None = None, run_id: str | None = None
+) -> DataFrame:
+    """doc_id, summary_sentences, findings, extraction, completeness, relevance, meta: the whole report of each document, nested.
+
+    ``summary`` (of summary_topk) and ``nlp_skills`` (of entity_skills) come
+    from models, where there are any. findings are in the order of kinds, then
+    of the text, each with its message and the spans that show it. relevance is
+    null without requirements. meta holds the language, the lines' languages,
+    the configuration without its key, the version and the run's id.
+    """
+    config, spark = config or Config(), docs.sparkSession
+    lines = ln.document_lines(docs)
+    segs = ln.segments(lines)
+    rules = rules_extraction(docs, lines, segs)
+    if nlp_skills is not None:
+        rules["skills"] = ln.span_segment(merge_skills(rules["skills"], nlp_skills), segs)
+    out = docs.select("doc_id")
+    for name, found in rules.items():
+        cols = [c for c in found.columns if c != "doc_id"]
+        listed = F.sort_array(F.collect_list(F.struct("start_off", "end_off", *[c for c in cols if c not in ("start_off", "end_off")])))
+        out = out.join(found.groupBy("doc_id").agg(listed.alias(name)), "doc_id", "left")
+    out = out.withColumn("extraction", F.struct(*[F.coalesce(F.col(k), F.array().cast(out.schema[k].dataType)).alias(k) for k in rules], F.lit("rules" if nlp_skills is None else "rules+nlp").alias("extractor_name")))
+    findings = _finding_structs(docs, lines, segs)
+    out = out.join(findings, "doc_id", "left").withColumn("findings", F.coalesce("findings", F.array().cast(findings.schema["findings"].dataType)))
+    have = segs.groupBy("doc_id").agg(F.collect_set("name").alias("_have"))
+    langs = document_languages(lines)
+    out = out.join(have, "doc_id", "left").join(langs, "doc_id", "left")
+    out = out.withColumn("completeness", F.create_map(*[x for s in lx.SECTIONS for x in (F.lit(s), F.coalesce(F.array_contains("_have", s), F.lit(False)))]))
+    if requirements is not None:
+        areas = relevance(lines, requirements, config.relevance_threshold)
+        area = F.struct("jd_id", "req_no", "requirement", "matched_text", "similarity", "matched")
+        out = out.join(areas.groupBy("doc_id").agg(F.sort_array(F.collect_list(area)).alias("relevance")), "doc_id", "left")
+    else:
+        out = out.withColumn("relevance", F.lit(None).cast("array<struct<jd_id:int,req_no:int,requirement:string,matched_text:string,similarity:double,matched:boolean>>"))
+    if summary is not None:
+        told = F.transform(F.sort_array(F.collect_list(F.struct("rank", "sentence"))), lambda x: x["sentence"])
+        out = out.join(summary.groupBy("doc_id").agg(told.alias("summary_sentences")), "doc_id", "left")
+    else:
+        out = out.withColumn("summary_sentences", F.lit(None).cast("array<string>"))
+    settings = F.create_map(*[x for k, v in config.redacted().items() for x in (F.lit(k), F.lit(str(v)))])
+    mix = F.create_map(*[x for c in ("en", "id", "mixed", "other") for x in (F.lit(c), F.coalesce(f"n_{c}", F.lit(0)))])
+    meta = F.struct(F.coalesce("lang", F.lit("en")).alias("report_language"), mix.alias("lang_distribution"), settings.alias("config"), F.lit(VERSION).alias("version"), F.lit(run_id or uuid.uuid4().hex).alias("run_id"))
+    return out.select("doc_id", F.coalesce("summary_sentences", F.array().cast("array<string>")).alias("summary_sentences"), "findings", "extraction", "completeness", "relevance", meta.alias("meta"))
+
+
 def report_json(reports: DataFrame) -> DataFrame:
     """doc_id, report: every column as one JSON text."""
     return reports.select("doc_id", F.to_json(F.struct(*reports.columns)).alias("report"))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
+from ..sources.tables import Config
+from .vectors import cosine
 
 SYSTEM = (
     "Reword each numbered finding as one clear sentence for the document's owner. Use nothing that is not in the finding or its evidence. "
@@ -23,11 +25,12 @@ KINDS = ["missing_section", "vague_bullet", "redundant_pair", "unsupported_claim
 LANGUAGES = {"en": "English", "id": "Indonesian"}
 
 
-def number_findings(findings: DataFrame, most: int = 10) -> DataFrame:
-    """Adds finding_no per document, in the reference's order of kinds, then by start, lines and message; at most ``most``."""
+def number_findings(findings: DataFrame, most: int | None = 10) -> DataFrame:
+    """Adds finding_no per document, in the order of kinds, then by start, lines and message; at most ``most``, where it is given."""
     kind = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     order = Window.partitionBy("doc_id").orderBy(kind, "kind", "start_off", F.col("line_a").cast("int"), F.col("line_b").cast("int"), "message")
-    return findings.withColumn("finding_no", F.row_number().over(order)).where(F.col("finding_no") <= most)
+    numbered = findings.withColumn("finding_no", F.row_number().over(order))
+    return numbered if most is None else numbered.where(F.col("finding_no") <= most)
 
 
 def llm_prompt(numbered: DataFrame, lang: str = "en") -> DataFrame:
@@ -102,16 +105,67 @@ def verify_keyword(rows: DataFrame, min_overlap: int = 2, min_score: float = 0.5
     return d.withColumn("score", F.round(score, 3)).withColumn("reason", reason).withColumn("accepted", F.col("reason") == "ok").drop("_s", "_m", "_a")
 
 
-def rewrite(numbered: DataFrame, sentences: DataFrame) -> DataFrame:
+def verify_vectors(rows: DataFrame, sentence: str = "sentence_vector", material: str = "material_vector", threshold: float = 0.5) -> DataFrame:
+    """Adds accepted, score and reason by the cosine of a sentence's vector and that of its message and evidence (see material).
+
+    A row that lacks a vector goes by its words instead.
+    """
+    words = verify_keyword(rows)
+    score = F.round(cosine(F.col(sentence), F.col(material)), 3)
+    by_vector = F.col(sentence).isNotNull() & F.col(material).isNotNull() & (F.coalesce("sentence", F.lit("")) != "")
+    near = cosine(F.col(sentence), F.col(material)) >= threshold
+    words = words.withColumn("reason", F.when(by_vector, F.when(near, "ok").otherwise("too far from the finding")).otherwise(F.col("reason")))
+    return words.withColumn("score", F.when(by_vector, score).otherwise(F.col("score"))).withColumn("accepted", F.col("reason") == "ok")
+
+
+def material(message: Column, evidence: Column) -> Column:
+    """What a sentence's vector is held against: message and evidence, redacted."""
+    return F.concat_ws(" ", tx.redact(message)["text"], tx.redact(F.coalesce(evidence, F.lit("")))["text"])
+
+
+def verify(rows: DataFrame, mode: str = "keyword", **options) -> DataFrame:
+    """By words, or with mode 'embedding' by vectors."""
+    if mode not in ("keyword", "embedding"):
+        raise ValueError(f"no such mode: {mode}")
+    return verify_vectors(rows, **options) if mode == "embedding" else verify_keyword(rows, **options)
+
+
+def rewrite(numbered: DataFrame, sentences: DataFrame, mode: str = "keyword", **options) -> DataFrame:
     """Findings with text: the sentence if it is verified, else the message, and fallback saying which.
 
     A document without answers, because the model is off, limited or failed,
-    keeps all its messages.
+    keeps all its messages. ``sentences`` may carry vectors for mode
+    'embedding'.
     """
-    d = verify_keyword(numbered.join(sentences, ["doc_id", "finding_no"], "left"))
+    d = verify(numbered.join(sentences, ["doc_id", "finding_no"], "left"), mode, **options)
     return d.withColumn("fallback", ~F.col("accepted")).withColumn("text", F.when(F.col("accepted"), F.col("sentence")).otherwise(F.col("message")))
 
 
+def ask(numbered: DataFrame, respond: Callable[[str], str] | None, config: Config, allowed: DataFrame | None = None, lang: str = "en") -> tuple[DataFrame, DataFrame]:
+    """(sentences, errors): the model's answers for each document's findings, and doc_id, error where there are none.
+
+    Nothing is asked where the configuration switches it off, holds no key, or
+    the limiter (``allowed``: doc_id, allowed, retry_after_s) denies a document;
+    a call that fails is an error too. All of them leave the messages as they are.
+    """
+    docs = numbered.select("doc_id").distinct()
+    none = numbered.sparkSession.createDataFrame([], f"doc_id {numbered.schema['doc_id'].dataType.simpleString()}, finding_no int, sentence string")
+    if not config.llm_enabled or respond is None:
+        return none, docs.select("doc_id", F.lit("rewriting is switched off").alias("error"))
+    if not config.llm_key:
+        return none, docs.select("doc_id", F.lit("no key is configured").alias("error"))
+    prompts = llm_prompt(numbered, lang)
+    denied = None
+    if allowed is not None:
+        prompts = prompts.join(allowed.select("doc_id", "allowed", "retry_after_s"), "doc_id", "left")
+        denied = prompts.where(~F.coalesce("allowed", F.lit(True)))
+        denied = denied.select("doc_id", F.concat(F.lit("limited: again in "), F.format_string("%.0f", F.col("retry_after_s")), F.lit(" s")).alias("error"))
+        prompts = prompts.where(F.coalesce("allowed", F.lit(True)))
+    answers = call_model(prompts, respond)
+    errors = answers.where(F.col("error").isNotNull()).select("doc_id", "error")
+    return parse_numbered(answers.where(F.col("answer").isNotNull())), errors if denied is None else errors.unionByName(denied)
+
+
 def faithfulness(verified: DataFrame) -> DataFrame:
     """n, accepted, rejected, rate over all rows with a sentence."""
     d = verified.where(F.coalesce("sentence", F.lit("")) != "")
@@ -119,3 +173,25 @@ def faithfulness(verified: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"),
         F.round(F.coalesce(F.try_divide(F.count_if("accepted"), F.count("*")), F.lit(0.0)), 4).alias("rate"),
     )
+
+
+def faithfulness_records(findings: DataFrame, sentences: DataFrame, docs: list | DataFrame, per_doc: int = 5, mode: str = "keyword", **options) -> DataFrame:
+    """doc_id, finding_no, outcome, score, reason of a sample's findings.
+
+    ``docs`` is the sample: ids, or a table of doc_id. The first ``per_doc``
+    findings of each count. outcome is accepted, rejected, or fallback where
+    there was no sentence.
+    """
+    sample = docs.select("doc_id").distinct() if isinstance(docs, DataFrame) else findings.sparkSession.createDataFrame([(d,) for d in docs], f"doc_id {findings.schema['doc_id'].dataType.simpleString()}")
+    d = number_findings(findings.join(sample, "doc_id", "left_semi"), per_doc)
+    d = verify(d.join(sentences, ["doc_id", "finding_no"], "left"), mode, **options)
+    blank = F.coalesce("sentence", F.lit("")) == ""
+    outcome = F.when(blank, "fallback").when(F.col("accepted"), "accepted").otherwise("rejected")
+    return d.select("doc_id", "finding_no", outcome.alias("outcome"), F.when(~blank, F.col("score")).alias("score"), F.when(~blank, F.col("reason")).alias("reason"))
+
+
+def faithfulness_run(records: DataFrame) -> DataFrame:
+    """n_findings, n_accepted, n_rejected, n_fallback, acceptance_rate (over all findings) of faithfulness_records."""
+    n = lambda x: F.count_if(F.col("outcome") == x)
+    rate = F.round(F.coalesce(F.try_divide(n("accepted"), F.count("*")), F.lit(0.0)), 4)
+    return records.agg(F.count("*").alias("n_findings"), n("accepted").alias("n_accepted"), n("rejected").alias("n_rejected"), n("fallback").alias("n_fallback"), rate.alias("acceptance_rate"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,3 +39,26 @@ def summary_topk(scored: DataFrame, k: int = 3, min_words: int = 6) -> DataFrame
     d = d.withColumn("score", F.array_max(F.transform("exemplars", lambda e: cosine(F.col("vector"), e))))
     order = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "line_no")
     return d.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("doc_id", "rank", "line_no", F.col("stripped").alias("sentence"), "score")
+
+
+def embed(rows: DataFrame, text_col: str, encoder: Callable[[list[str]], list[list[float]]], out_col: str = "vector") -> DataFrame:
+    """Adds vectors of length 1 that ``encoder`` gives for a batch of texts; null where the text is, or where the call fails."""
+    keep = [c for c in rows.columns if c != out_col]
+    shape = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + f", `{out_col}` array<double>"
+
+    def unit(v: list[float]) -> list[float]:
+        n = sum(float(x) * float(x) for x in v) ** 0.5
+        return [float(x) / n for x in v] if n else [float(x) for x in v]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            here = [i for i, x in enumerate(b[text_col]) if x is not None]
+            got: list = [None] * len(b)
+            try:
+                for i, v in zip(here, encoder([b[text_col].iloc[i] for i in here]) if here else [], strict=True):
+                    got[i] = unit(v)
+            except Exception:  # without an encoder the lexical scores stand in
+                got = [None] * len(b)
+            yield b.assign(**{out_col: pd.Series(got, index=b.index, dtype=object)})
+
+    return rows.select(*keep).mapInPandas(run, shape)

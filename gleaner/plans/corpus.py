@@ -17,7 +17,7 @@ def _pick(k: int, *texts: str) -> str:
     return "CASE doc_id % " + str(k) + "".join(f" WHEN {i} THEN {t}" for i, t in enumerate(quoted[:-1])) + f" ELSE {quoted[-1]} END"
 
 
-def _lines(whole: bool) -> list[str]:
+def _lines() -> list[str]:
     year = "(2008 + doc_id % 9)"
     return [
         _pick(5, "Siti Rahma", "Budi Santoso", "Anna Miller", "John O'Brien-Smith", "  CURRICULUM VITAE  "),
@@ -88,24 +88,24 @@ def _lines(whole: bool) -> list[str]:
             "Sarjana Ekonomi",
             "Self taught",
         ),
-        "coalesce(text, '')" if whole else "split_part(coalesce(text, ''), chr(10), 1)",
+        "coalesce(text, '')",
     ]
 
 
-def corpus_sql(documents: str = "documents", whole: bool = False) -> str:
+def corpus_sql(documents: str = "documents") -> str:
     """doc_id, text; every third document ends without a line break, every eleventh has CR LF line ends.
 
-    The document's own text stands last: with ``whole`` all of it, else its
-    first line, as in the DuckDB SQL.
+    The document's own text stands last, all of it.
     """
-    body = f" || {NL} || ".join(_lines(whole))
+    body = f" || {NL} || ".join(_lines())
     return f"""SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN replace(body, chr(10), chr(13) || chr(10)) WHEN doc_id % 3 = 0 THEN body ELSE body || chr(10) END AS text
 FROM (SELECT doc_id, {body} AS body FROM {documents}) AS b"""
 
 
 def cv_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dealt by doc_id once: windows, aggregations and joins by document follow that without another exchange."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return spark.sql(corpus_sql("{documents}", whole=True), documents=documents)
+    return spark.sql(corpus_sql("{documents}"), documents=documents).repartition("doc_id")
 
 
 REQUIREMENTS = [

@@ -106,8 +106,12 @@ def scan_gold(spark, sf):
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the checkpoint folder that the session names, else below a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleaner-")
+    """A fresh folder below the checkpoint folder that the session names; a local session may do without one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="gleaner-")
     return f"{base.rstrip('/')}/{name}-{os.urandom(8).hex()}"
 
 
@@ -567,9 +571,139 @@ def sample_docs(spark, sf):
 
 @query
 def pseudo_gold(spark, sf):
-    """Canonicals of which an English alias stands alone, in all lower case and with a dot allowed before it."""
-    d = cv_corpus(spark, sf).select("doc_id", F.lower("text").alias("low"))
-    patterns = F.array(*[F.struct(F.lit(c).alias("canonical"), F.lit(a).alias("alias")) for c, aliases in lx.SKILLS_EN.items() for a in aliases])
-    hits = d.select("doc_id", "low", F.explode(F.filter(patterns, lambda r: F.contains("low", r["alias"]))).alias("r"))
-    found = hits.where(F.expr("low rlike concat('(?<![a-z0-9+#])', regexp_replace(r.alias, '([^A-Za-z0-9 ])', '\\\\\\\\$1'), '(?![a-z0-9+#])')"))
-    return found.select("doc_id", "r.canonical").distinct()
+    return extract.pseudo_gold(cv_corpus(spark, sf))
+
+
+@query
+def pseudo_gold_rates(spark, sf):
+    docs = cv_corpus(spark, sf)
+    return metrics.corpus_sets(docs, extract.skill_set(_mentions(spark, sf)), extract.pseudo_gold(docs))
+
+
+@query
+def two_modes(spark, sf):
+    """Rules alone, and with a model's entities, against one gold."""
+    system = extract.merge_skills(_mentions(spark, sf), extract.entity_skills(_model_entities(spark, sf)))
+    system = system.select("doc_id", F.col("canonical").alias("label"), "start_off", "end_off").where("start_off % 5 != 0")
+    return metrics.two_modes({"skills": _predicted(spark, sf)}, {"skills": system}, {"skills": _gold(spark, sf)}, strict=True)
+
+
+@query
+def gold_documents(spark, sf):
+    return metrics.document_counts(cv_corpus(spark, sf), _predicted(spark, sf), _gold(spark, sf))
+
+
+# bundles, models, runs
+
+
+@query
+def rules_bundle(spark, sf):
+    docs = cv_corpus(spark, sf)
+    own = lines.document_lines(docs)
+    found = extract.rules_extraction(docs, own, lines.segments(own))
+    rows = [d.select("doc_id", F.lit(k).alias("kind"), "start_off", "end_off", "segment", "extractor") for k, d in found.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query
+def segment_access(spark, sf):
+    own = _lines(spark, sf)
+    first = lines.first_segment(lines.segments(own), "experience").select("doc_id", "seg_no", "heading", "start_off", "end_off")
+    return first.join(lines.segment_lines(own, "experience").groupBy("doc_id").agg(F.count("*").alias("n_lines")), "doc_id")
+
+
+@query
+def report_findings(spark, sf):
+    """What the whole report says of findings, as rows."""
+    full = report.full_report(cv_corpus(spark, sf), run_id="r").select("doc_id", F.explode("findings").alias("f"))
+    return full.select("doc_id", "f.finding_no", "f.kind", "f.message", F.array_join("f.evidence.text", " | ").alias("evidence"), F.col("f.evidence")[0]["start"].alias("start_off"))
+
+
+@query
+def report_full(spark, sf):
+    """Sizes and figures of the whole report's other parts."""
+    r = report.full_report(cv_corpus(spark, sf), _requirements(spark), run_id="r")
+    said = lambda c: F.col(f"meta.lang_distribution.{c}")
+    return r.select(
+        "doc_id", F.size("findings").alias("n_findings"), F.size("extraction.skills").alias("n_skills"), F.size("extraction.experiences").alias("n_experiences"), F.size("extraction.education").alias("n_education"),
+        F.array_join(F.array_sort(F.map_keys(F.map_filter("completeness", lambda _, v: v))), ",").alias("complete"), F.size(F.filter("relevance", lambda x: x["matched"])).alias("n_matched"),
+        F.col("meta.report_language").alias("lang"), said("en").alias("n_en"), said("id").alias("n_id"), F.col("meta.config.llm_key").alias("key"),
+    )
+
+
+def _detector(text: str) -> tuple[str, float]:
+    if "?" in text:
+        raise ValueError(text)
+    return ("en", 0.9) if "the" in text else ("id", 0.05) if "an" in text else ("fr", 0.7)
+
+
+@query
+def lang_detected(spark, sf):
+    return language.line_languages(_lines(spark, sf), _detector).select("doc_id", "line_no", "lang", "confidence", "method")
+
+
+def _tagger(words: list[str]) -> tuple[list[int], list[str]]:
+    """Three letters a piece; the second piece of a capitalised word, or its only one, says so."""
+    counts = [-(-len(w) // 3) for w in words]
+    return counts, [("B-ORG" if w[0] in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" and k == min(1, n - 1) else "O") for w, n in zip(words, counts, strict=True) for k in range(n)]
+
+
+@query
+def word_tags(spark, sf):
+    return extract.word_tags(extract.word_spans(cv_corpus(spark, sf)), _tagger, max_pieces=120).select("doc_id", "word_no", "start_off", "end_off", "tag")
+
+
+@query
+def line_vectors(spark, sf):
+    d = vectors.embed(_lines(spark, sf).select("doc_id", "line_no", "stripped"), "stripped", lambda texts: [[len(t), t.count("e"), 1] for t in texts])
+    return d.select("doc_id", "line_no", F.round(F.col("vector")[0], 6).alias("x"), F.round(F.col("vector")[1], 6).alias("y"))
+
+
+def _line_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    e = _table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return _lines(spark, sf).withColumn("vec_id", F.col("doc_id") * 7 % 101 + F.col("line_no") + 10).join(e, "vec_id")
+
+
+@query
+def redundant_vectors(spark, sf):
+    return findings.redundant_pairs(_line_vectors(spark, sf), threshold=0.3, vectors="vector").select("doc_id", "line_a", "line_b", "score")
+
+
+@query
+def relevance_vectors(spark, sf):
+    e = _table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    req = _requirements(spark).withColumn("vec_id", (F.col("jd_id") * 3 + F.col("req_no")).cast("long")).join(e, "vec_id")
+    return relevance.relevance(_line_vectors(spark, sf), req, threshold=0.2, vectors="vector").select("doc_id", "jd_id", "req_no", "similarity", "matched")
+
+
+@query
+def verify_embedding(spark, sf):
+    e = _table(spark, sf, "embeddings").where("vec_id < 7").select("vec_id", "embedding")
+    rows = rewrite.parse_numbered(_answers(spark, sf)).join(_numbered(spark, sf), ["doc_id", "finding_no"])
+    rows = rows.withColumn("vec_id", (F.col("doc_id") + F.col("finding_no")) % 7).join(F.broadcast(e.withColumnRenamed("embedding", "sentence_vector")), "vec_id")
+    rows = rows.withColumn("vec_id", F.col("doc_id") % 5).join(F.broadcast(e.withColumnRenamed("embedding", "material_vector")), "vec_id")
+    return rewrite.verify(rows, "embedding", threshold=0.1).select("doc_id", "finding_no", "score", "reason", "accepted")
+
+
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    sample = metrics.sample_docs(cv_corpus(spark, sf), 20)
+    sentences = rewrite.parse_numbered(_answers(spark, sf)).where("finding_no != 3")
+    return rewrite.faithfulness_records(_findings(spark, sf), sentences, sample)
+
+
+@query
+def faithfulness_records(spark, sf):
+    return _records(spark, sf)
+
+
+@query
+def faithfulness_run(spark, sf):
+    return rewrite.faithfulness_run(_records(spark, sf))
+
+
+@query
+def rewrite_gate(spark, sf):
+    """Every document that got no sentences, and why."""
+    allowed = _docs(spark, sf).select("doc_id", (F.col("doc_id") % 3 != 0).alias("allowed"), F.lit(12.0).alias("retry_after_s"))
+    config = tables.Config(llm_enabled=True, llm_key="k")
+    return rewrite.ask(_numbered(spark, sf), lambda prompt: "" if len(prompt) % 2 else "1. so it is", config, allowed)[1]

@@ -7,10 +7,9 @@ path is used for its ending only.
 from __future__ import annotations
 
 import io
+import multiprocessing
 import zipfile
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
-from concurrent.futures import TimeoutError as TooLate
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -133,29 +132,69 @@ def pdf_text(content: bytes) -> str:
     raise ValueError("; ".join(errors))
 
 
+class Parsing:
+    """A process that parses one file after another; a file that takes too long ends it, and the next one gets another."""
+
+    def __init__(self, parsers: dict[str, Callable[[bytes], str]], timeout_s: float):
+        self.parsers, self.timeout_s, self.process, self.pipe = parsers, timeout_s, None, None
+
+    def _serve(self, pipe) -> None:
+        while True:
+            try:
+                kind, content = pipe.recv()
+            except EOFError:
+                return
+            try:
+                pipe.send((self.parsers[kind](content), None))
+            except Exception as e:
+                pipe.send((None, f"{type(e).__name__}: {e}"))
+
+    def parse(self, kind: str, content: bytes) -> tuple[str | None, str | None]:
+        """text, error."""
+        if self.process is None:
+            fork = multiprocessing.get_context("fork")
+            self.pipe, theirs = fork.Pipe()
+            self.process = fork.Process(target=self._serve, args=(theirs,), daemon=True)
+            self.process.start()
+            theirs.close()
+        try:
+            self.pipe.send((kind, content))
+            if self.pipe.poll(self.timeout_s):
+                return self.pipe.recv()
+            error = "parsing took too long"
+        except (EOFError, OSError):
+            error = "the parser died"
+        self.end()
+        return None, error
+
+    def end(self) -> None:
+        if self.process is not None:
+            self.process.kill()
+            self.process.join()
+            self.pipe.close()
+            self.process = None
+
+
 def parse_uploads(valid: DataFrame, timeout_s: float = 15.0, parsers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
     """path, kind, text, error, warning of valid uploads (path, kind, content).
 
-    Text is decoded in the JVM; other kinds go through a parser, which a time
-    limit ends. A failure is a row with an error.
+    Text is decoded in the JVM; other kinds go through a parser in a process of
+    its own, which a time limit ends. A failure is a row with an error.
     """
     parse = {"docx": docx_text, "pdf": pdf_text} | (parsers or {})
     plain = valid.where(F.col("kind") == "text").select("path", "kind", decode(F.col("content")).alias("text"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("warning"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for path, kind, content in zip(b["path"], b["kind"], b["content"], strict=True):
-                pool = ThreadPoolExecutor(1)
-                try:
-                    text, error = pool.submit(parse[kind], content).result(timeout_s), None
-                except TooLate:
-                    text, error = None, "parsing took too long"
-                except Exception as e:
-                    text, error = None, f"{type(e).__name__}: {e}"
-                pool.shutdown(wait=False, cancel_futures=True)
-                rows.append((path, kind, text, error, "the order of a PDF's text is a guess" if kind == "pdf" and text else None))
-            yield pd.DataFrame(rows, columns=["path", "kind", "text", "error", "warning"])
+        work = Parsing(parse, timeout_s)
+        try:
+            for b in batches:
+                rows = []
+                for path, kind, content in zip(b["path"], b["kind"], b["content"], strict=True):
+                    text, error = work.parse(kind, content)
+                    rows.append((path, kind, text, error, "the order of a PDF's text is a guess" if kind == "pdf" and text else None))
+                yield pd.DataFrame(rows, columns=["path", "kind", "text", "error", "warning"])
+        finally:
+            work.end()
 
     other = valid.where(F.col("kind") != "text").select("path", "kind", "content").mapInPandas(run, "path string, kind string, text string, error string, warning string")
     return plain.unionByName(other)
