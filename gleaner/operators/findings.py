@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
+from ..sources.tables import keep
 from .lines import heading_section
 from .statements import statement_class
 from .vectors import pairwise
@@ -93,6 +94,7 @@ def redundant_pairs(lines: DataFrame, threshold: float = 0.85, min_words: int =
     if vectors:
         scored = pairwise(d.where(F.col(vectors).isNotNull()), "doc_id", "line_no", vectors).where(F.col("score") >= threshold)
         return _with_evidence(scored.select("doc_id", F.col("a").alias("line_a"), F.col("b").alias("line_b"), "score"), d, same_segment)
+    d = keep(d.select("doc_id", "line_no", "segment", "stripped", "w"), "line-words")
     by = ["doc_id", "segment"] if same_segment else ["doc_id"]
     c = d.groupBy(*by, "w").agg(F.sort_array(F.collect_list("line_no")).alias("own")).withColumn("c", F.col("own")[0])
     seen = Window.partitionBy(*by, "word")

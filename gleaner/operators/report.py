@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
-from ..sources.tables import Config
+from ..sources.tables import Config, keep
 from . import findings as fi
 from . import lines as ln
 from .extract import merge_skills, rules_extraction, skill_hits
@@ -72,7 +72,7 @@ def report(docs: DataFrame, requirements: DataFrame | None = None) -> DataFrame:
     tells by itself is counted in one pass; everything is keyed by doc_id, so
     the parts join without a further order.
     """
-    lines = ln.document_lines(docs)
+    lines = keep(ln.document_lines(docs), "lines")
     canonicals = F.array_sort(F.array_distinct(skill_hits(F.col("text"))["canonical"]))
     head = tx.strip(F.substring(F.coalesce("text", F.lit("")), 1, 80)) != ""
     out = docs.select("doc_id", F.array_join(canonicals, ",").alias("skills"), F.size(tx.matches(F.col("text"), F.lit(lx.DATE_RANGE))).alias("n_ranges"), head.alias("_head"))
@@ -123,7 +123,7 @@ def full_report(
     the configuration without its key, the version and the run's id.
     """
     config, spark = config or Config(), docs.sparkSession
-    lines = ln.document_lines(docs)
+    lines = keep(ln.document_lines(docs), "lines")
     segs = ln.segments(lines)
     rules = rules_extraction(docs, lines, segs)
     if nlp_skills is not None:

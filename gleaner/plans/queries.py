@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -90,7 +88,7 @@ def text_decode(spark, sf):
 
 @query
 def scan_resume_csv(spark, sf):
-    path = _scratch(spark, "resume-csv")
+    path = tables.scratch(spark, "resume-csv")
     d = cv_corpus(spark, sf).select(F.col("doc_id").cast("string").alias("ID"), F.concat(F.lit("C"), F.col("doc_id") % 5).alias("Category"), F.col("text").alias("Resume_str"))
     d.write.csv(path, header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return tables.read_resume_csv(spark, path).select("cv_id", "category", F.length(F.regexp_replace("text", "[\r\n]+", " ")).alias("n_chars"))
@@ -98,23 +96,13 @@ def scan_resume_csv(spark, sf):
 
 @query
 def scan_gold(spark, sf):
-    path = _scratch(spark, "gold")
+    path = tables.scratch(spark, "gold")
     skills = _mentions(spark, sf).groupBy("doc_id").agg(F.collect_list(F.struct("canonical", F.col("start_off").alias("start"), F.col("end_off").alias("end"))).alias("skills"))
     skills.select(F.col("doc_id").cast("string").alias("cv_id"), "skills").write.json(path)
     gold = tables.read_gold(spark, path + "/*.json", cv_corpus(spark, sf).select(F.col("doc_id").cast("string").alias("cv_id"), "text"), one_array=False)
     return gold.select("cv_id", "has_text", F.size("skills").alias("n_skills"))
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the checkpoint folder that the session names; a local session may do without one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="gleaner-")
-    return f"{base.rstrip('/')}/{name}-{os.urandom(8).hex()}"
-
-
 @query
 def gold_scaffold(spark, sf):
     sample = metrics.sample_docs(cv_corpus(spark, sf), 30).select(F.col("doc_id").cast("string").alias("cv_id"), F.lit("cv").alias("category"), "text")
@@ -382,7 +370,7 @@ def relevance_summary(spark, sf):
 
 def _findings(spark: SparkSession, sf: str) -> DataFrame:
     docs = cv_corpus(spark, sf)
-    own = lines.document_lines(docs)
+    own = tables.keep(lines.document_lines(docs), "lines")
     return report.all_findings(docs, own, lines.segments(own))
 
 
@@ -441,7 +429,7 @@ def rate_limit_stream(spark, sf):
     """The same decisions from a stream that reads the table once."""
     source = _table(spark, sf, "events")
     stream = limiter.rate_limit_stream(spark.readStream.schema(source.schema).parquet(f"{sf}/events.parquet*"), max_calls=2, per_seconds=86_400)
-    out = _scratch(spark, "limit")
+    out = tables.scratch(spark, "limit")
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out).select("user_id", "event_id", "allowed", F.round("retry_after_s", 3).alias("retry_after_s"))
 
@@ -450,7 +438,7 @@ def rate_limit_stream(spark, sf):
 
 
 def _numbered(spark: SparkSession, sf: str) -> DataFrame:
-    return rewrite.number_findings(_findings(spark, sf))
+    return tables.keep(rewrite.number_findings(_findings(spark, sf)), "numbered")
 
 
 @query
@@ -458,22 +446,23 @@ def llm_prompt(spark, sf):
     return rewrite.llm_prompt(_numbered(spark, sf))
 
 
-def _answers(spark: SparkSession, sf: str) -> DataFrame:
+def _answers(numbered: DataFrame) -> DataFrame:
     """Recorded answers: the message again, an unrelated sentence, or an echo of the evidence, by doc_id."""
     body = F.when(F.col("doc_id") % 3 == 0, F.col("message")).when(F.col("doc_id") % 3 == 1, F.lit("Hire this excellent candidate now")).otherwise(F.col("evidence"))
     mark = F.when(F.col("doc_id") % 2 == 0, ". ").otherwise(") ")
     body = F.regexp_replace(body, r"[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]+", " ")  # one line for each finding
-    d = _numbered(spark, sf).select("doc_id", F.struct("finding_no", F.concat(F.col("finding_no").cast("string"), mark, body).alias("s")).alias("x"))
+    d = numbered.select("doc_id", F.struct("finding_no", F.concat(F.col("finding_no").cast("string"), mark, body).alias("s")).alias("x"))
     return d.groupBy("doc_id").agg(F.concat(F.lit("Sure:\n"), F.array_join(F.sort_array(F.collect_list("x"))["s"], "\n")).alias("answer"))
 
 
 @query
 def parse_numbered(spark, sf):
-    return rewrite.parse_numbered(_answers(spark, sf))
+    return rewrite.parse_numbered(_answers(_numbered(spark, sf)))
 
 
 def _verified(spark: SparkSession, sf: str) -> DataFrame:
-    return rewrite.rewrite(_numbered(spark, sf), rewrite.parse_numbered(_answers(spark, sf)))
+    numbered = _numbered(spark, sf)
+    return rewrite.rewrite(numbered, rewrite.parse_numbered(_answers(numbered)))
 
 
 @query
@@ -679,7 +668,8 @@ def relevance_vectors(spark, sf):
 @query
 def verify_embedding(spark, sf):
     e = _table(spark, sf, "embeddings").where("vec_id < 7").select("vec_id", "embedding")
-    rows = rewrite.parse_numbered(_answers(spark, sf)).join(_numbered(spark, sf), ["doc_id", "finding_no"])
+    numbered = _numbered(spark, sf)
+    rows = rewrite.parse_numbered(_answers(numbered)).join(numbered, ["doc_id", "finding_no"])
     rows = rows.withColumn("vec_id", (F.col("doc_id") + F.col("finding_no")) % 7).join(F.broadcast(e.withColumnRenamed("embedding", "sentence_vector")), "vec_id")
     rows = rows.withColumn("vec_id", F.col("doc_id") % 5).join(F.broadcast(e.withColumnRenamed("embedding", "material_vector")), "vec_id")
     return rewrite.verify(rows, "embedding", threshold=0.1).select("doc_id", "finding_no", "score", "reason", "accepted")
@@ -687,8 +677,9 @@ def verify_embedding(spark, sf):
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
     sample = metrics.sample_docs(cv_corpus(spark, sf), 20)
-    sentences = rewrite.parse_numbered(_answers(spark, sf)).where("finding_no != 3")
-    return rewrite.faithfulness_records(_findings(spark, sf), sentences, sample)
+    found = tables.keep(_findings(spark, sf), "findings")
+    sentences = rewrite.parse_numbered(_answers(rewrite.number_findings(found))).where("finding_no != 3")
+    return rewrite.faithfulness_records(found, sentences, sample)
 
 
 @query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,26 @@ def gold_scaffold(sample: DataFrame) -> DataFrame:
     )
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path below the checkpoint folder that the session names, removed when the driver ends; a local session may do without one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="gleaner-")
+    path = f"{base.rstrip('/')}/{name}-{os.urandom(8).hex()}"
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hpath)
+    return path
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: what several branches of a plan use is made once, and outlives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
