@@ -138,7 +138,7 @@ def n_centroids(vectors: int, sample: int, per_cell: int) -> int:
 
 
 def search(
-    df: DataFrame, query_ids, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", per_cell: int = 6, recall: float = 0.95, block_rows: int = 8192,
+    df: DataFrame, query_ids, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", per_cell: int = 12, recall: float = 0.95, block_rows: int = 8192,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k vectors of largest inner product found for each query.
 
@@ -235,9 +235,11 @@ def search(
 
     shape = "block long, kind int, rep long, v binary, ids array<long>, cells binary"
     held = index.mapInArrow(place, shape)
-    asked = queries.repartition("rep").mapInArrow(visit, shape)
+    # by work, not by size: traversal and scoring take long for few bytes, so small partitions are not merged
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    asked = queries.repartition(tasks, "rep").mapInArrow(visit, shape)
     # the index moves once; a query goes to the blocks that it visits, and streams past what they hold
-    dealt = held.unionByName(asked).repartition("block").sortWithinPartitions("block", "kind")
+    dealt = held.unionByName(asked).repartition(tasks, "block").sortWithinPartitions("block", "kind")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, buffer, ready = None, [], None
@@ -255,13 +257,13 @@ def search(
                 ids = [i for p in buffer for i in p.column("ids").to_pylist()]
                 ready = x, own, ids, np.linalg.norm(x, axis=1).max()
             x, own, ids, longest = ready
-            top_id = np.array([i[0] for i in ids])
+            top_id, n_own = np.array([i[0] for i in ids]), int(own.max()) + 1
             reps, qs, lists = b.column("rep").to_pylist(), matrix(b.column("v").to_pylist()), b.column("cells").to_pylist()
             for at in range(0, len(reps), 256):
                 near = qs[at : at + 256] @ x.T
                 out_q, out_s, out_i = [], [], []
                 for r, rep in enumerate(reps[at : at + 256]):
-                    allowed = np.zeros(int(own.max()) + 1, bool)
+                    allowed = np.zeros(n_own, bool)
                     cells_here = np.frombuffer(lists[at + r], "<i4")
                     allowed[cells_here[cells_here < len(allowed)]] = True
                     s = np.where(allowed[own], near[r], -np.inf)
