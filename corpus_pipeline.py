@@ -53,8 +53,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the piece ids of every document of the mix, copies included."""
-    return encode_documents(docs.select("doc_id", "text"), piece_model(), decode=False)
+    """doc_id, n_tokens and the piece ids of every document of the mix, copies included; the operator decodes all of them, too."""
+    return encode_documents(docs.select("doc_id", "text"), piece_model()).select("doc_id", "n_tokens", "ids")
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("encode", encode)]

@@ -71,3 +71,12 @@ def test_nothing_and_repeated_ids(spark, folder, tmp_path):
     for name, stage in cp.STAGES:
         odd = cp.stash(stage(spark, odd, folder), name)
         assert odd.count() > 90 and (name == "encode" or odd.columns == cp.COLUMNS)
+
+
+def test_encode_decodes(spark, folder):
+    """The stage runs the operator whole, decoding with it, though it returns the ids only."""
+    docs = cp.table(spark, folder, "documents")
+    out = cp.encode(spark, docs, folder)
+    assert out.columns == ["doc_id", "n_tokens", "ids"]
+    ran = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "MapInArrow" in x]
+    assert len(ran) == 1 and "decoded" in ran[0]
