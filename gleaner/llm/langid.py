@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Shared, slices
+from .common import Shared, slices, trimmed
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]")
@@ -126,4 +126,4 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
             arrays.append(pa.array([x == UNKNOWN or m < min_margin for x, m in zip(langs, margins, strict=True)], pa.bool_()))
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *new])
 
-    return docs.select(*keep).mapInArrow(classify, schema)
+    return docs.select(*keep).mapInArrow(trimmed(classify), schema)

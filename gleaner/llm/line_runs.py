@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, new_path, remove, slices, stash
+from .common import drop, new_path, remove, slices, stash, trimmed
 
 SPACE = b" \t\n\x0b\x0c\r"
 LAST = 2**63 - 1  # stands for a null id, after every other
@@ -106,7 +106,7 @@ def line_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(out, pa.binary())], names=["doc", "th", "h"])
 
-    return docs.select(_doc(id_col), _text_hash(text_col), F.col(text_col).alias("text")).mapInArrow(hashes, KEY_SCHEMA)
+    return docs.select(_doc(id_col), _text_hash(text_col), F.col(text_col).alias("text")).mapInArrow(trimmed(hashes), KEY_SCHEMA)
 
 
 def _doc(id_col: str) -> Column:
@@ -185,4 +185,4 @@ def _drop_lines(docs: DataFrame, lost: DataFrame, id_col: str, text_col: str, mi
                 columns[last] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_pydict(columns)
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(trimmed(cut), schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import mix
-from .common import drop, slices, stash
+from .common import drop, slices, stash, trimmed
 from .components import connected_components
 from .imi import by_key
 
@@ -159,7 +159,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
             )
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        sign, "id long, n long, c binary, bands array<long>, sketch binary, full binary"
+        trimmed(sign), "id long, n long, c binary, bands array<long>, sketch binary, full binary"
     )
 
 
@@ -215,7 +215,7 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(out), pa.binary()), pa.array(out, pa.binary())], names=["a", "b"])
 
-    out = stash(dealt.mapInArrow(confirm, "a binary, b binary"), "confirmed")
+    out = stash(dealt.mapInArrow(trimmed(confirm), "a binary, b binary"), "confirmed")
     drop(needed, texts)
     return out
 
@@ -296,7 +296,7 @@ def _across(members: DataFrame, comps: DataFrame, classes: DataFrame, tried: Dat
                 yield flush()
         yield flush()
 
-    found = dealt.mapInArrow(compare, "p binary, o binary, apart double")
+    found = dealt.mapInArrow(trimmed(compare), "p binary, o binary, apart double")
     if nearest:
         found = found.groupBy("p").agg(F.min(F.struct("apart", "o")).alias("top")).select("p", "top.o")
     out = stash(found.select(F.least("p", "o").alias("a"), F.greatest("p", "o").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")

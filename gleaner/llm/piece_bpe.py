@@ -6,7 +6,9 @@ every start). A piece may follow another only if the two would not have merged
 across their border: the pair is taken apart along the merges that made the
 pieces, and stands if no step finds a merge across the border that would have
 come first. Where no piece fits, the last one is given up for a shorter one,
-and a bitfield keeps positions that lead nowhere, so none is tried twice.
+and a bitfield keeps positions that lead nowhere, so none is tried twice. Of
+a unit without unknown characters only the longest matches at places that the
+backtracking comes to are asked for.
 
 Runs of the space mark are the one place where merges tie in score; there the
 leftmost pair merges first, which is done as such.
@@ -20,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, slices
+from .common import Shared, slices, trimmed
 
 SPACE = "▁"
 UNITS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
@@ -99,13 +101,34 @@ class PieceTable:
         return parts
 
 
+class Memo(dict):
+    """Results of ``make`` for short units: the last ``size`` of them, and of those before them the ones asked for since."""
+
+    def __init__(self, make: Callable[[str], bytes], size: int):
+        super().__init__()
+        self.make, self.size = make, size
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, unit: str) -> bytes:
+        out = self.old.get(unit)
+        if out is None:
+            out = self.make(unit)
+        if len(unit) <= 64:
+            if len(self) >= self.size:
+                self.old = self.copy()
+                self.clear()
+            self[unit] = out
+        return out
+
+
 class PieceCodec:
-    """Encodes and decodes with a PieceTable. Memoises units of text up to ``memo`` of them."""
+    """Encodes and decodes with a PieceTable. Memoises units of text, twice ``memo`` of them at most."""
 
     def __init__(self, table: PieceTable, memo: int = 60_000):
         self.t, self.memo_size = table, memo
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(self._unit, memo)
         self.pairs: dict[int, bool] = {}  # by a * 2**32 + b, up to 4 * memo of them
+        self.bytes_of = [i.to_bytes(4, "little") for i in table.ids]  # by rank
         self.auto = ahocorasick.Automaton()
         for r, p in enumerate(table.text):
             if table.reachable[r]:
@@ -122,34 +145,68 @@ class PieceCodec:
         begin, end = t.bos.to_bytes(4, "little"), t.eos.to_bytes(4, "little")
         if not text:
             return begin + end
-        if len(self.memo) > self.memo_size:
-            self.memo.clear()
-        memo, missing = self.memo, self._unit
-        out = [begin]
-        for u in UNITS.findall(SPACE + text.replace(" ", SPACE)):
-            got = memo.get(u)
-            out.append(missing(u) if got is None else got)
-        out.append(end)
-        return b"".join(out)
+        units = UNITS.findall(SPACE + text.replace(" ", SPACE))
+        return b"".join([begin, *map(self.memo.__getitem__, units), end])
 
     def _unit(self, unit: str) -> bytes:
         """Merges never cross the border of a unit: no piece holds a space mark after another character, nor a newline."""
+        if unit[0] != SPACE or (len(unit) > 1 and unit[1] != SPACE):  # no mark or one, and then text
+            ranks = self._ranks(unit)
+            return b"".join(map(self.bytes_of.__getitem__, ranks)) if ranks else np.array(self._backtrack(unit), "<u4").tobytes()
         marks = len(unit) - len(unit.lstrip(SPACE))
-        ids: list[int] = []
         if marks == len(unit):
             ids = self._spaces(marks)
-        elif marks:
+        else:
             head = self._backtrack(unit[marks - 1 :])
             if self.t.pieces[head[0]] == SPACE:  # the last mark stayed alone: it belongs to the run
                 ids = self._spaces(marks) + head[1:]
             else:
                 ids = self._spaces(marks - 1) + head
-        else:
-            ids = self._backtrack(unit)
-        out = np.array(ids, "<u4").tobytes()
-        if len(unit) <= 64:
-            self.memo[unit] = out
-        return out
+        return np.array(ids, "<u4").tobytes()
+
+    def _ranks(self, s: str) -> list[int] | None:
+        """Pieces (by rank) of a unit; None if a character is unknown.
+
+        The search gives longest match after longest match; where one doesn't
+        fit, it goes on from the places that backtracking comes to.
+        """
+        tokens, pos, pairs = [], 0, self.pairs
+        for end, (r, k) in self.auto.iter_long(s):
+            if end - k + 1 != pos:
+                return None
+            if tokens:
+                fits = pairs.get(tokens[-1] << 32 | r)
+                if not (self._fits(tokens[-1], r) if fits is None else fits):
+                    return self._back(s, tokens, pos, r)
+            tokens.append(r)
+            pos = end + 1
+        return tokens if pos == len(s) else None
+
+    def _back(self, s: str, tokens: list[int], pos: int, nxt: int) -> list[int] | None:
+        """_ranks from where ``nxt`` is to be tried behind ``tokens``, which end at ``pos``."""
+        text, shorter, search, pairs, stop = self.t.text, self.t.shorter, self.auto.iter_long, self.pairs, len(s)
+        failed = bytearray(stop + 1)
+        while True:
+            end = pos + len(text[nxt])
+            fits = not failed[end]
+            if fits and tokens:
+                fits = pairs.get(tokens[-1] << 32 | nxt)
+                if fits is None:
+                    fits = self._fits(tokens[-1], nxt)
+            if fits:
+                tokens.append(nxt)
+                pos = end
+                if pos == stop:
+                    return tokens
+                last, (nxt, k) = next(search(s, pos), (-1, (0, 0)))
+                if last - k + 1 != pos:
+                    return None
+            elif shorter[nxt] >= 0:
+                nxt = shorter[nxt]
+            else:
+                failed[pos] = 1
+                nxt = tokens.pop()
+                pos -= len(text[nxt])
 
     def _spaces(self, n: int) -> list[int]:
         """A run of n marks: all merges tie, the leftmost goes first."""
@@ -205,11 +262,9 @@ class PieceCodec:
     def _backtrack(self, s: str) -> list[int]:
         """Ids of a unit, its unknown characters as bytes."""
         t = self.t
-        longest, reach = [-1] * len(s), [0] * len(s)
-        for end, (r, k) in self.auto.iter(s):
-            start = end - k + 1
-            if k > reach[start]:
-                longest[start], reach[start] = r, k
+        longest = [-1] * len(s)
+        for end, (r, k) in self.auto.iter(s):  # of matches with one start the longest ends last
+            longest[end - k + 1] = r
         out: list[int] = []
         i = 0
         while i < len(s):
@@ -296,21 +351,18 @@ class PieceCodec:
         return self.decode_bytes(list(ids)).decode()
 
 
-def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, decode: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """One row per document: the id, n_tokens, and ids with the decoded text, or their digests.
 
     With ``digest`` the columns are ids_sha256 (of the ids as little-endian
     unsigned 32-bit integers) and decoded_sha256 (of the decoded text in
-    UTF-8); else ids (array of int) and decoded, or ids alone without
-    ``decode``. A null text counts as empty: begin and end ids only. Rows are
-    independent; repeated rows give repeated results, null ids stay null and
+    UTF-8); else ids (array of int) and decoded. Every text is decoded from its
+    ids. A null text counts as empty: begin and end ids only. Rows are independent; repeated rows give repeated results, null ids stay null and
     extra columns are left out. An empty table gives an empty result.
     """
     shared = Shared(docs.sparkSession, PieceTable(model_file), PieceCodec)  # the vocabulary's size
     id_type = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     kinds = {"ids_sha256": "string", "decoded_sha256": "string"} if digest else {"ids": "array<int>", "decoded": "string"}
-    if not decode:
-        kinds = dict(list(kinds.items())[:1])
     schema = f"`{id_col}` {id_type}, n_tokens long, " + ", ".join(f"{k} {v}" for k, v in kinds.items())
     names = [id_col, "n_tokens", *kinds]
 
@@ -324,9 +376,9 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
             else:
                 ids = np.frombuffer(b"".join(raws), "<u4").astype(np.int32)
                 columns = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids))]
-            if decode:
-                texts = (codec.decode_bytes(np.frombuffer(raw, "<u4").tolist()) for raw in raws)
-                columns.append(pa.array([hashlib.sha256(t).hexdigest() if digest else t.decode() for t in texts], pa.string()))
+            texts = (codec.decode_bytes(np.frombuffer(raw, "<u4").tolist()) for raw in raws)
+            columns.append(pa.array([hashlib.sha256(t).hexdigest() if digest else t.decode() for t in texts], pa.string()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), *columns], names=names)
+        codec.memo.old = {}
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(encode, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(trimmed(encode), schema)

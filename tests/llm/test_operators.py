@@ -194,6 +194,33 @@ def test_piece_codec_equals_library():
         assert own.decode(ids) == lib.decode(ids)
 
 
+def test_piece_memo_keeps_what_is_asked_for():
+    """Frequent units outlast any number of rare ones, and no more than two generations are held."""
+    made = Counter()
+
+    def make(unit):
+        made[unit] += 1
+        return unit.encode()
+
+    memo = piece_bpe.Memo(make, 10)
+    for i in range(200):
+        assert memo["the"] == b"the" and memo[f"rare{i}"] == f"rare{i}".encode() and len(memo) + len(memo.old) <= 20
+    assert made["the"] == 1 and memo["x" * 65] == b"x" * 65 and "x" * 65 not in memo
+
+
+def test_piece_backtracking_from_any_place():
+    """Units where the longest match is given up, unknown characters and long ones give what the pass over all places gives."""
+    codec, r = piece_bpe.PieceCodec(piece_bpe.PieceTable(model())), random.Random(5)
+    pieces, back = [p for p in codec.t.text if not p.startswith("▁")], 0
+    for i in range(4000):
+        unit = "▁" + "".join(r.choice(pieces) for _ in range(r.randint(1, 6))) + ("\U0001f9ff" if i % 50 == 0 else "")
+        whole, ranks = codec._backtrack(unit), codec._ranks(unit)
+        assert codec._unit(unit) == np.array(whole, "<u4").tobytes()
+        assert ranks is None if i % 50 == 0 else [codec.t.ids[x] for x in ranks] == whole
+        back += ranks != [x for _, (x, _) in codec.auto.iter_long(unit)]
+    assert back > 500
+
+
 def test_piece_documents(spark, docs, empty):
     import sentencepiece
 
