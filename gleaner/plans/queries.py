@@ -362,7 +362,7 @@ def relevance_match(spark, sf):
 
 @query
 def relevance_summary(spark, sf):
-    return relevance.relevance_summary(relevance.relevance(_lines(spark, sf), _requirements(spark)))
+    return relevance.relevance_summary(relevance.relevance(_lines(spark, sf), _requirements(spark), texts=False))
 
 
 # rendering
@@ -649,8 +649,11 @@ def line_vectors(spark, sf):
 
 
 def _line_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    e = _table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    return _lines(spark, sf).withColumn("vec_id", F.col("doc_id") * 7 % 101 + F.col("line_no") + 10).join(e, "vec_id")
+    """Lines with a vector each. No vec_id beyond the longest document's lines is asked for, so few vectors go to the lines, whose texts stay where they are."""
+    own = tables.keep(_lines(spark, sf), "lines")
+    last = own.agg(F.max("line_no")).first()[0] or 0
+    e = _table(spark, sf, "embeddings").where(F.col("vec_id") <= 110 + last).select("vec_id", F.col("embedding").alias("vector"))
+    return own.withColumn("vec_id", F.col("doc_id") * 7 % 101 + F.col("line_no") + 10).join(F.broadcast(e) if last < 100_000 else e, "vec_id")
 
 
 @query
@@ -662,7 +665,7 @@ def redundant_vectors(spark, sf):
 def relevance_vectors(spark, sf):
     e = _table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     req = _requirements(spark).withColumn("vec_id", (F.col("jd_id") * 3 + F.col("req_no")).cast("long")).join(e, "vec_id")
-    return relevance.relevance(_line_vectors(spark, sf), req, threshold=0.2, vectors="vector").select("doc_id", "jd_id", "req_no", "similarity", "matched")
+    return relevance.relevance(_line_vectors(spark, sf), req, threshold=0.2, vectors="vector", texts=False).select("doc_id", "jd_id", "req_no", "similarity", "matched")
 
 
 @query
